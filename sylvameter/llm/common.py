@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
     for batch in batches:
         data = batch.column(batch.schema.get_field_index(column))
         start = size = 0
-        lengths = pa.compute.fill_null(pa.compute.binary_length(data), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(data), 0).to_pylist()
         for i, n in enumerate(lengths):
             if i > start and size + n > most_bytes:
                 yield batch.slice(start, i - start)
