@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvameter.llm import secrets
+from sylvameter.llm import secrets, simhash
 from sylvameter.sources.tables import table
 
 
+def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and the smallest doc_id that links of three bits or fewer reach."""
+    groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All secrets of every document; columns as the contract of the query names them."""
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
@@ -32,6 +38,7 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_simhash_groups": op9_simhash_groups,
     "op10_secret_ownership": op10_secret_ownership,
 }
 ORACLE_SQL: dict[str, str] = {}
