@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvameter.llm import secrets, simhash
+from sylvameter.llm import packing, secrets, simhash, tokens
 from sylvameter.sources.tables import table
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document, with its place in the sequences of 2048 ids."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokens.byte_bpe_path())
+
+
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and the smallest doc_id that links of three bits or fewer reach."""
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -38,6 +43,7 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op9_simhash_groups": op9_simhash_groups,
     "op10_secret_ownership": op10_secret_ownership,
 }

@@ -1,9 +1,7 @@
-"""Byte-level BPE ids of whole texts, with a cache for the words between single spaces.
+"""Byte-level BPE ids of whole texts.
 
-A boundary of the vocabulary's own splitting always lies before white space that follows a visible character, and a
-single space joins the word after it. So in a text whose only white space is single spaces and line ends between
-visible characters, each word with the space before it has its own ids, whatever stands around it; those are kept.
-Other texts are encoded as a whole. Both ways give the ids that the ``tokenizers`` library gives.
+The vocabulary comes as a ``tokenizers`` file and as a rank file of the same tokens. The rank file is read here: both
+give the same ids (a test compares them), and the rank reader takes about a fifth of the time.
 """
 
 from __future__ import annotations
@@ -15,66 +13,23 @@ from pathlib import Path
 import tiktoken
 
 #: Fixed value: the splitting pattern of the vocabulary, as its publisher gives it.
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Marks after a word that the pattern keeps together as one piece; an apostrophe may begin a contraction.
-_MARKS = ".,;:!?)(-%$#*&/+=@_\"[]{}<>|~^"
-_LATIN = "\u0250"
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class Encoder:
-    """``ids(text)`` as little-endian unsigned 32-bit bytes. ``most`` bounds the words that each cache holds."""
+def byte_bpe_path() -> str:
+    """Where this machine keeps the public vocabulary; every operator takes the path as a parameter."""
+    import public_tokenizers
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 300_000) -> None:
-        self._encoding = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._most = most
-        self._inner: dict[str, bytes] = {}
-        self._first: dict[str, bytes] = {}
-        self._single = self._encoding._encode_single_piece
-        self._newline = self._bytes("\n")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
-    @classmethod
-    def from_file(cls, path: str, most: int = 300_000) -> Encoder:
-        """From a file of base64 tokens and ranks."""
-        lines = Path(path).read_bytes().splitlines()
-        return cls({base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x)}, most)
 
-    def _bytes(self, text: str) -> bytes:
-        return array("I", self._encoding.encode_ordinary(text)).tobytes()
+def read_encoding(path: str) -> tiktoken.Encoding:
+    """From a file of base64 tokens and their ranks. No special tokens: their strings are ordinary text."""
+    lines = (x.split() for x in Path(path).read_bytes().splitlines())
+    ranks = {base64.b64decode(x[0]): int(x[1]) for x in lines if x}
+    return tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def _word(self, space: str, word: str) -> bytes:
-        """Ids of a word without white space. Letters and the marks after them are a piece each, split without regex."""
-        letters = word.rstrip(_MARKS)
-        if not letters.isalpha() or max(letters) >= _LATIN:
-            return self._bytes(space + word)
-        ids = self._single(space + letters)
-        if len(letters) < len(word):
-            ids = ids + self._single(word[len(letters) :])
-        return array("I", ids).tobytes()
 
-    def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if text.replace("\n", " ") != " ".join(text.split()):
-            return self._bytes(text)
-        inner, first = self._inner, self._first
-        if len(inner) > self._most:
-            inner.clear()
-        if len(first) > self._most:
-            first.clear()
-        out: list[bytes] = []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            head = first.get(words[0])
-            if head is None:
-                head = first[words[0]] = self._word("", words[0])
-            out.append(head)
-            rest = list(map(inner.get, words[1:]))
-            if None in rest:
-                for i, known in enumerate(rest):
-                    if known is None:
-                        word = words[i + 1]
-                        rest[i] = inner[word] = self._word(" ", word)
-            out += rest
-            out.append(self._newline)
-        out.pop()
-        return b"".join(out)
+def ids_bytes(encoding: tiktoken.Encoding, text: str) -> bytes:
+    """The ids of ``text`` as unsigned 32-bit numbers in native (little-endian) order."""
+    return array("I", encoding.encode_ordinary(text)).tobytes()
