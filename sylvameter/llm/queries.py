@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvameter.llm import packing, secrets, simhash, tokens
+from sylvameter.llm import langid, packing, secrets, simhash, tokens, toxicity
+from sylvameter.llm.common import held_out
 from sylvameter.sources.tables import table
 
 
@@ -16,6 +17,20 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokens.byte_bpe_path())
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of four fifths of them."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out())
+    return toxicity.score_toxicity(docs.withColumn("held_out", held_out()), model, "doc_id", "held_out")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the text and language of four fifths of them."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, ~held_out())
+    return langid.identify(docs.withColumn("held_out", held_out()), model, "doc_id", "held_out")
+
+
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and the smallest doc_id that links of three bits or fewer reach."""
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -44,6 +59,8 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op5_toxicity": op5_toxicity,
+    "op6_language_id": op6_language_id,
     "op9_simhash_groups": op9_simhash_groups,
     "op10_secret_ownership": op10_secret_ownership,
 }
