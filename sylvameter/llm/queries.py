@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvameter.llm import langid, packing, secrets, simhash, tokens, toxicity
+from sylvameter.llm import contamination, langid, packing, secrets, simhash, tokencount, tokens, toxicity
 from sylvameter.llm.common import held_out
 from sylvameter.sources.tables import table
 
@@ -31,6 +31,16 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.withColumn("held_out", held_out()), model, "doc_id", "held_out")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of every document."""
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokencount.piece_path())
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that it contains."""
+    return contamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and the smallest doc_id that links of three bits or fewer reach."""
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -61,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
+    "op7_token_counts": op7_token_counts,
+    "op8_decontamination": op8_decontamination,
     "op9_simhash_groups": op9_simhash_groups,
     "op10_secret_ownership": op10_secret_ownership,
 }
