@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvameter.llm import contamination, langid, packing, secrets, simhash, tokencount, tokens, toxicity
+from sylvameter.llm import contamination, langid, linededup, packing, secrets, simhash, tokencount, tokens, toxicity
 from sylvameter.llm.common import held_out
 from sylvameter.sources.tables import table
 
@@ -17,6 +17,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokens.byte_bpe_path())
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that many sites share."""
+    cleaned = linededup.remove_boilerplate(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labels of four fifths of them."""
     docs = table(spark, sf_dir, "documents")
@@ -69,6 +75,7 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op4_line_dedup": op4_line_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
     "op7_token_counts": op7_token_counts,
@@ -76,4 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_groups": op9_simhash_groups,
     "op10_secret_ownership": op10_secret_ownership,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": linededup.oracle_sql(),
+}
