@@ -27,13 +27,11 @@ def local_session(cpus: int | None = None, memory: str = "8g", **conf: str) -> S
     return builder.getOrCreate()
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from those files.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate results that the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. A temporary folder is used only when no
-    folder is configured, which is the case in local tests.
+    A temporary folder is used only when no folder is configured, which is the case in local tests.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
@@ -42,4 +40,10 @@ def materialise(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="sylvameter-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the reliable checkpoint folder and continue from those files."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
