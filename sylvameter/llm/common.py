@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -20,10 +20,10 @@ def unit_hash(*columns: Column) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str | int, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows whose ``column`` has at most ``most_bytes`` bytes (one row at least)."""
     for batch in batches:
-        data = batch.column(batch.schema.get_field_index(column))
+        data = batch.column(batch.schema.get_field_index(column) if isinstance(column, str) else column % batch.num_columns)
         start = size = 0
         lengths = pc.fill_null(pc.binary_length(data), 0).to_pylist()
         for i, n in enumerate(lengths):
@@ -33,8 +33,3 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
             size += n
         if start < batch.num_rows:
             yield batch.slice(start)
-
-
-def kept_columns(df: DataFrame, *names: str) -> list[Column]:
-    """Those columns of ``df`` alone, so that extra columns with clashing names never reach an operator."""
-    return [F.col(f"`{n}`") for n in names]

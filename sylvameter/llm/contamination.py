@@ -196,7 +196,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, m
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "text"):
+            for batch in slices(batches, place):
                 clean = [not shared.value.matches(t, least) for t in batch.column(place).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 

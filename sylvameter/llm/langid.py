@@ -99,7 +99,7 @@ def identify(docs: DataFrame, model: Model | None, *carried: str) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch in slices(batches, "text_"):
+        for batch in slices(batches, -1):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             found = [known.predict(x) if known else (UNDETERMINED, 0.0) for x in texts]
             new = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]

@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvameter.llm import contamination, langid, linededup, packing, secrets, simhash, tokencount, tokens, toxicity
+from sylvameter.llm import (
+    contamination,
+    extraction,
+    langid,
+    linededup,
+    packing,
+    secrets,
+    simhash,
+    tokencount,
+    tokens,
+    topk,
+    toxicity,
+)
 from sylvameter.llm.common import held_out
 from sylvameter.sources.tables import table
 
@@ -17,6 +29,16 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokens.byte_bpe_path())
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector with all others."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that many sites share."""
     cleaned = linededup.remove_boilerplate(table(spark, sf_dir, "documents"))
@@ -75,6 +97,8 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_exact_top_k": op2_exact_top_k,
+    "op3_html_extraction": op3_html_extraction,
     "op4_line_dedup": op4_line_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
@@ -84,5 +108,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_ownership": op10_secret_ownership,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_exact_top_k": topk.oracle_sql(),
     "op4_line_dedup": linededup.oracle_sql(),
 }

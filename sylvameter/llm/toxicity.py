@@ -202,7 +202,7 @@ def score_toxicity(docs: DataFrame, model: Model | None, *carried: str) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text_"):
+        for batch in slices(batches, -1):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             found = shared.value.scores(texts) if shared.value else np.zeros(len(texts))
             new = [pa.array(found, pa.float64()), pa.array((found >= 0.5).astype(np.int32))]
