@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from sylvameter.functions import biomass, solar
 from sylvameter.functions import text as text_functions
-from sylvameter.operators import dedup, grounding, intervals, tagging
+from sylvameter.operators import batch, dedup, grounding, intervals, links, measure, tagging
+from sylvameter.sources import corpus
 from sylvameter.sources.tables import table
+from sylvameter.streaming import notifications
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -291,13 +293,53 @@ def affine_residual(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("l_suppkey", F.round(F.sqrt((F.col("yy") - F.col("xy") * F.col("xy") / F.col("xx")) / F.col("n")), 3).alias("rms"))
 
 
+def demo_corpus(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.assets(spark).groupBy("esg_project_id", "milestone_phase").agg(F.count("*").alias("n"))
+
+
+def demo_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The bulk run over the demonstration corpus."""
+    rows = corpus.assets(spark).withColumn("number", F.substring("asset_id", -4, 4).cast("int"))
+    return batch.tallies(batch.run(rows, "number"))
+
+
+def demo_campaign(spark: SparkSession, d: str) -> DataFrame:
+    return links.campaign(corpus.assets(spark), corpus.projects(spark), "https://media.example.org/demo")
+
+
+def report_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = _supplier_errors(spark, d).select(
+        F.concat(F.lit("SUP-"), F.lpad(F.col("l_suppkey").cast("string"), 3, "0")).alias("project_id"), F.lit("evidence/plate").alias("public_id"),
+        F.round(F.col("gross") / 1e6, 2).alias("tonnes"), F.round("error", 1).alias("error"), F.lit("0123456789abcdef").alias("root"),
+    )
+    return links.report(rows, "https://media.example.org/demo", "https://app.example.org/").select("project_id", "problem", "record_url")
+
+
+def image_measures(spark: SparkSession, d: str) -> DataFrame:
+    """Measures, hashes and tags of synthetic scenes, one of them unreadable."""
+    scenes = [*corpus.scenes(6, 96, 128), ("broken", 10, 10, b"x")]
+    found = measure.measure_images(spark.createDataFrame(scenes, "image_id string, height int, width int, data binary"))
+    return found.withColumn("tags", F.transform(tagging.by_confidence(tagging.pixel_tags()), lambda h: h["tag"])).select("image_id", "status", "phash", "tags")
+
+
+def notification_results(spark: SparkSession, d: str) -> DataFrame:
+    """Events as unsigned notifications through the whole of the processor, in batch."""
+    ts = F.col("ts").cast("timestamp")
+    body = F.to_json(F.struct(
+        F.concat_ws(":", F.col("user_id").cast("string"), F.get_json_object("props", "$.k")).alias("notification_id"),
+        F.when(F.col("event_type") == "click", "other").otherwise("upload").alias("notification_type"),
+    ))
+    rows = table(spark, d, "events").select(body.cast("binary").alias("body"), F.create_map().cast("map<string,string>").alias("headers"), ts.alias("received_at"))
+    return notifications.process(rows, None).groupBy("status").agg(F.count("*").alias("n"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         solar_position, shadow_verdict, verdict_tallies, time_of_day, allometry, allometry_stand, sampling_error, vm0047_discount, phash_nearest, phash_scoped,
         phash_verdict, sweep_cues, caption_check, hotspots, active_at, vtt_timestamp, tag_rules, tag_fusion, tag_conflicts, number_extract, grounding_check,
         project_summary, label_quality, ratio_test_knn, rate_limit_window, notification_dedup, freshness, handler_counts, signatures, otsu_threshold,
-        median_gains, histogram_match, affine_residual,
+        median_gains, histogram_match, affine_residual, demo_corpus, demo_batch, demo_campaign, report_rows, image_measures, notification_results,
     )
 }
 
@@ -433,5 +475,10 @@ SELECT o_orderpriority, round(gain, 6) AS gain, CASE WHEN gain > 3 OR gain < 1 /
     "histogram_match": """WITH h AS (SELECT l_returnflag AS f, l_quantity::BIGINT AS v, count(*) AS n FROM lineitem GROUP BY ALL),
 c AS (SELECT f, v, sum(n) OVER (PARTITION BY f ORDER BY v) AS c, sum(n) OVER (PARTITION BY f) AS t FROM h)
 SELECT a.v, min(b.v) AS matched FROM c a JOIN c b ON a.f = 'R' AND b.f = 'N' AND b.c * a.t >= a.c * b.t GROUP BY 1""",
+    "report_rows": f"""WITH {_ERRORS} SELECT 'SUP-' || lpad(l_suppkey::VARCHAR, 3, '0') AS project_id, NULL::VARCHAR AS problem,
+  'https://app.example.org/api/v1/assets/SUP-' || lpad(l_suppkey::VARCHAR, 3, '0') || '/provenance' AS record_url FROM errors""",
+    "notification_results": """WITH k AS (SELECT ts, event_type = 'click' AS other, user_id || ':' || CAST(json_extract(props, '$.k') AS BIGINT) AS key FROM events),
+b AS (SELECT *, coalesce(count(*) FILTER (NOT other) OVER (PARTITION BY key ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)
+SELECT CASE WHEN before > 0 THEN 'DUPLICATE' WHEN other THEN 'IGNORED_UNHANDLED' ELSE 'ACCEPTED' END AS status, count(*) AS n FROM b GROUP BY 1""",
     "affine_residual": "SELECT l_suppkey, round(sqrt((regr_syy(l_extendedprice, l_quantity) - power(regr_sxy(l_extendedprice, l_quantity), 2) / regr_sxx(l_extendedprice, l_quantity)) / count(*)), 3) AS rms FROM lineitem GROUP BY 1",
 }
