@@ -20,6 +20,14 @@ def unit_hash(*columns: Column) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A column name like ``name`` that none of ``columns`` has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str | int, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows whose ``column`` has at most ``most_bytes`` bytes (one row at least)."""
     for batch in batches:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sylvameter.llm.common import slices, unit_hash
+from sylvameter.llm.common import slices, unit_hash, unused
 from sylvameter.llm.ngrams import codes, grams, long_parts
 
 ORDERS = (1, 2, 3, 4)
@@ -106,4 +106,4 @@ def identify(docs: DataFrame, model: Model | None, *carried: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names)
 
     out = schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*carried, F.col("text").alias("text_")).mapInArrow(score, out)
+    return docs.select(*carried, F.col("text").alias(unused("text", docs.columns))).mapInArrow(score, out)

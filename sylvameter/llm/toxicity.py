@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylvameter.llm.boosting import Boosted, boost, isotonic
-from sylvameter.llm.common import slices, unit_hash
+from sylvameter.llm.common import slices, unit_hash, unused
 from sylvameter.session import materialise
 
 #: A short general list of insults, and words of the second person in four languages.
@@ -209,4 +209,4 @@ def score_toxicity(docs: DataFrame, model: Model | None, *carried: str) -> DataF
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names)
 
     out = schema.add("score", "double").add("predicted", "integer")
-    return docs.select(*carried, F.col("text").alias("text_")).mapInArrow(score, out)
+    return docs.select(*carried, F.col("text").alias(unused("text", docs.columns))).mapInArrow(score, out)
