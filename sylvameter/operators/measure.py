@@ -18,6 +18,11 @@ def _pixels(data: bytes | None, height, width) -> np.ndarray | None:
     return np.frombuffer(data, np.uint8).reshape(int(height), int(width), 3)
 
 
+def _frame(rows: list[dict], names: list[str]) -> pd.DataFrame:
+    """Rows as columns of objects, so that what a row lacks is null and not NaN."""
+    return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
+
+
 def from_image_source(df: DataFrame) -> DataFrame:
     """(image_id, height, width, data) of Spark's image source, whose channels are blue first; grey ones are tripled."""
     rows = df.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
@@ -54,7 +59,7 @@ def measure_images(images: DataFrame) -> DataFrame:
                     rows.append(base | {"status": "REJECTED", "error": "no readable pixels"})
                 else:
                     rows.append(base | {"phash": imaging.perceptual_hash(rgb)} | imaging.forgery_signals(rgb) | imaging.image_signals(rgb))
-            yield pd.DataFrame(rows, columns=names).astype({"width": "Int32", "height": "Int32", "detectable": "boolean"})
+            yield _frame(rows, names)
 
     return images.select("image_id", "height", "width", "data").mapInPandas(run, schema)
 
@@ -82,7 +87,7 @@ def measure_pairs(pairs: DataFrame) -> DataFrame:
                 gains = imaging.radiometric_gains(a, b)
                 fixed = imaging.apply_gains(b, gains["gains"]) if gains["status"] == "OK" else b
                 rows.append({"pair_id": row.pair_id, "gain_status": gains["status"], "gains": gains["gains"]} | imaging.canopy_change(a, fixed))
-            yield pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in schema.split(",")]).astype({"before_px": "Int64", "after_px": "Int64"})
+            yield _frame(rows, [c.strip().split(" ")[0] for c in schema.split(",")])
 
     return pairs.mapInPandas(run, schema)
 
@@ -98,6 +103,6 @@ def register_pairs(points: DataFrame) -> DataFrame:
         pdf = pdf.sort_values(["sx", "sy", "dx", "dy"])
         seed = abs(int.from_bytes(str(pdf["pair_id"].iloc[0]).encode()[-7:], "big"))
         found = geometry.register(pdf[["sx", "sy"]].to_numpy(float), pdf[["dx", "dy"]].to_numpy(float), pdf["ratio"].to_numpy(float), seed)
-        return pd.DataFrame([{"pair_id": pdf["pair_id"].iloc[0]} | found])
+        return _frame([{"pair_id": pdf["pair_id"].iloc[0]} | found], [c.strip().split(" ")[0] for c in schema.split(",")])
 
     return points.groupBy("pair_id").applyInPandas(run, schema)
