@@ -39,12 +39,12 @@ def terms(text: Column, synonyms: Mapping[str, str] = SYNONYMS, stop_words: tupl
     """
     pattern = "[a-z0-9_-]+" if keep_joiners else "[a-z0-9]+"
     raw = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0))
-    stops = F.array(*[F.lit(w) for w in stop_words]) if stop_words else F.array().cast("array<string>")
-    kept = F.filter(raw, lambda t: (F.length(t) >= least) & ~F.array_contains(stops, t))
+    # both lists are hashed sets of literals; the map is looked into for the few terms that it has
+    kept = F.filter(raw, lambda t: (F.length(t) >= least) & ~t.isin(*stop_words) if stop_words else F.length(t) >= least)
     if not synonyms:
         return kept
     names = F.create_map(*[F.lit(x) for pair in synonyms.items() for x in pair])
-    return F.transform(kept, lambda t: F.coalesce(F.element_at(names, t), t))
+    return F.transform(kept, lambda t: F.when(t.isin(*synonyms), F.element_at(names, t)).otherwise(t))
 
 
 #: Labels whose digits are no measurement, in the order in which they are masked.

@@ -74,7 +74,7 @@ def facet_counts(df: DataFrame, chosen: Mapping[str, object | None]) -> DataFram
             for a in axes
         ]
     )
-    long = df.select(F.explode(F.array_compact(rows)).alias("r")).select("r.axis", "r.value")
+    long = df.select(F.explode_outer(rows).alias("r")).select("r.axis", "r.value")
     return long.where("value is not null and value <> ''").groupBy("axis", "value").agg(F.count("*").alias("n"))
 
 

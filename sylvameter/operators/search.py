@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sylvameter.functions import text as text_functions
+from sylvameter.session import materialise
 
 MOST_TERMS = 12
 EXCERPT = 160
@@ -16,7 +17,9 @@ EXCERPT = 160
 def term_counts(docs: DataFrame, text: Column | None = None, **settings) -> DataFrame:
     """(doc_id, term, tf). Terms are counted within each row before rows meet."""
     found = text_functions.terms(F.col("text") if text is None else text, **settings)
-    return docs.select("doc_id", F.explode(found).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    # the outer explode keeps Spark from finding the terms a second time in a filter below it
+    rows = docs.select("doc_id", F.explode_outer(found).alias("term")).where("term is not null")
+    return rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 def idf(counts: DataFrame, n_docs: int) -> DataFrame:
@@ -77,7 +80,7 @@ def top(found: DataFrame, k: int = 10) -> DataFrame:
 
 def search(docs: DataFrame, query: str, k: int = 10, project: str | None = None, tags: Sequence[str] = (), **columns: str) -> DataFrame:
     """(doc_id, score, matched, excerpt) of the best documents; statistics are those of all ``docs`` (doc_id, text, ...)."""
-    counts = term_counts(docs)
+    counts = materialise(term_counts(docs))  # read three times below
     weights = idf(counts, docs.count())
     asked = query_vector(docs.sparkSession, query, weights)
     kept = narrowed(docs, project, tags, **columns)
@@ -95,7 +98,7 @@ def unmatched(spark: SparkSession, query: str, counts: DataFrame) -> DataFrame:
 
 def similar_to(docs: DataFrame, doc_id: int, k: int = 10) -> DataFrame:
     """(doc_id, score) of the documents most like one of them, itself left out."""
-    counts = term_counts(docs)
+    counts = materialise(term_counts(docs))
     weights = idf(counts, docs.count())
     all_vectors = vectors(counts, weights)
     own = all_vectors.where(F.col("doc_id") == doc_id).select("term", F.col("w").alias("ow"))

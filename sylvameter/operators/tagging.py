@@ -136,6 +136,14 @@ def by_confidence(hits: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda k: k["h"])
 
 
+def long_form(df: DataFrame, column: str, *keys: str, name: str = "h") -> DataFrame:
+    """The keys and one struct ``name`` for each entry of an array column.
+
+    The outer explode keeps Spark from putting the whole of the array's expression into a filter below it.
+    """
+    return df.select(*keys, F.explode_outer(column).alias(name)).where(F.col(name).isNotNull())
+
+
 def enrich(df: DataFrame, external: str | None = None) -> DataFrame:
     """``df`` of measured assets with tags (surest first, repeats kept) and conflicts; one pass, no shuffle."""
     parts = [pixel_tags()]

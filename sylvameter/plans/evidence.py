@@ -155,7 +155,7 @@ def _measures(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tag_rules(spark: SparkSession, d: str) -> DataFrame:
-    tags = _measures(spark, d).withColumn("h", F.explode(tagging.pixel_tags())).select("p_partkey", "h.tag", "h.confidence")
+    tags = tagging.long_form(_measures(spark, d).withColumn("tags", tagging.pixel_tags()), "tags", "p_partkey").select("h.tag", "h.confidence")
     return tags.groupBy("tag").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 2).alias("confidence"))
 
 
@@ -166,12 +166,12 @@ def _fused(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tag_fusion(spark: SparkSession, d: str) -> DataFrame:
-    rows = _fused(spark, d).select("p_partkey", F.explode("tags").alias("h"))
+    rows = tagging.long_form(_fused(spark, d), "tags", "p_partkey")
     return rows.groupBy("h.tag", "h.evidence").agg(F.count("*").alias("n"), F.round(F.sum("h.confidence"), 2).alias("confidence"))
 
 
 def tag_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    return _fused(spark, d).select("p_partkey", F.explode("conflicts").alias("c")).select("p_partkey", "c.tag", F.round("c.external_confidence", 3).alias("external_confidence"))
+    return tagging.long_form(_fused(spark, d), "conflicts", "p_partkey", name="c").select("p_partkey", "c.tag", F.round("c.external_confidence", 3).alias("external_confidence"))
 
 
 def number_extract(spark: SparkSession, d: str) -> DataFrame:
