@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sylvameter.functions import text as text_functions
 from sylvameter.operators import nlquery, search, validation
 from sylvameter.operators.validation import Rule
+from sylvameter.session import spread
 from sylvameter.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,7 +19,7 @@ _ANCHOR = 1
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source"))
 
 
 def token_synonyms(spark: SparkSession, d: str) -> DataFrame:

@@ -47,3 +47,12 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and continue from those files."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for steps that are dear by row.
+
+    Only an input of fewer splits than cores is dealt anew, which is a small one; any other is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
