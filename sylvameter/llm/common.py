@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,15 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
+def own_exchange(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` with ``keys`` (longs) as new expressions, for the side of a join that was just aggregated by them.
+
+    The planner then exchanges this small side again instead of taking over its partitioning, and with an exchange of
+    its own on both sides adaptive execution can split the partition of a hot key on the other side.
+    """
+    return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0).cast("long")) for k in keys})
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str | int, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows whose ``column`` has at most ``most_bytes`` bytes (one row at least)."""
     for batch in batches:

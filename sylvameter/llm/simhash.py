@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylvameter.llm.bktree import spanning_links
-from sylvameter.llm.common import slices
+from sylvameter.llm.common import own_exchange, slices
 from sylvameter.llm.components import connected_components
 from sylvameter.session import materialise
 
@@ -140,10 +140,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int
     roots = connected_components(links(nodes, nodes.count(), radius, large))
     linked = nodes.join(roots, nodes.fp == roots.node).select("fp", "root", "least")
     group = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = linked.join(group, "root").select("fp", "component_id")
+    moved = linked.join(own_exchange(group, "root"), "root").select("fp", "component_id")
     # one row for each fingerprint, so that a fingerprint with a third of all rows is split on the side of documents
     final = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return marked.join(final, "fp", "left").select("doc_id", "fp", "component_id")
+    return marked.join(own_exchange(final, "fp"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, **settings: int) -> DataFrame:
