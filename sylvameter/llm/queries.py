@@ -21,12 +21,13 @@ from sylvameter.llm import (
     toxicity,
 )
 from sylvameter.llm.common import held_out
+from sylvameter.session import spread
 from sylvameter.sources.tables import table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document, with its place in the sequences of 2048 ids."""
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokens.byte_bpe_path())
+    return packing.pack_documents(spread(table(spark, sf_dir, "documents")), tokens.byte_bpe_path())
 
 
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
-    return extraction.extract(table(spark, sf_dir, "pages"))
+    return extraction.extract(spread(table(spark, sf_dir, "pages")))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,31 +48,31 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labels of four fifths of them."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out())
     return toxicity.score_toxicity(docs.withColumn("held_out", held_out()), model, "doc_id", "held_out")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the text and language of four fifths of them."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     model = langid.train(docs, ~held_out())
     return langid.identify(docs.withColumn("held_out", held_out()), model, "doc_id", "held_out")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram token counts of every document."""
-    return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokencount.piece_path())
+    return tokencount.count_tokens(spread(table(spark, sf_dir, "documents")), tokencount.piece_path())
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of a document and a benchmark item that it contains."""
-    return contamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination.find_leaks(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and the smallest doc_id that links of three bits or fewer reach."""
-    groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    groups = simhash.near_duplicates(spread(table(spark, sf_dir, "documents")))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
