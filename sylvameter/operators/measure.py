@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from sylvameter.functions import geometry, imaging
 
 
+#: The most pixels of an image that is decoded, and the most files of one ingest batch.
+MOST_PIXELS, BATCH_FILES = 80_000_000, 50
+
+
 def _pixels(data: bytes | None, height, width) -> np.ndarray | None:
     if not data or pd.isna(height) or pd.isna(width) or len(data) != int(height) * int(width) * 3:
         return None
@@ -55,7 +59,9 @@ def measure_images(images: DataFrame) -> DataFrame:
             for row in pdf.itertuples(index=False):
                 rgb = _pixels(row.data, row.height, row.width)
                 base = {"image_id": row.image_id, "status": "INGESTED", "error": None}
-                if rgb is None or min(rgb.shape[:2]) < 3:
+                if not pd.isna(row.height) and not pd.isna(row.width) and row.height * row.width > MOST_PIXELS:
+                    rows.append(base | {"status": "REJECTED", "error": "too many pixels"})
+                elif rgb is None or min(rgb.shape[:2]) < 3:
                     rows.append(base | {"status": "REJECTED", "error": "no readable pixels"})
                 else:
                     rows.append(base | {"phash": imaging.perceptual_hash(rgb)} | imaging.forgery_signals(rgb) | imaging.image_signals(rgb))
@@ -64,6 +70,14 @@ def measure_images(images: DataFrame) -> DataFrame:
     return images.select("image_id", "height", "width", "data").mapInPandas(run, schema)
 
 
+def ingest_batches(files: DataFrame, size: int = BATCH_FILES) -> DataFrame:
+    """``files`` (path, ...) with batch: numbers that no more than ``size`` files share, in order of the path."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("path"), F.lit(64))).orderBy("path")) - 1
+    return files.withColumn("batch", F.concat_ws("-", F.pmod(F.xxhash64("path"), F.lit(64)).cast("string"), F.floor(place / size).cast("string")))
+
+
 def forgery_action(noise: Column, fft_peak: Column, moire: Column) -> Column:
     """(action, replay): only smoothness may quarantine; a peak or moire asks for review and tells of a replay."""
     smooth = noise < imaging.NOISE_FLOOR

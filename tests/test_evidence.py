@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sylvameter.functions import biomass, diagnostics, geometry, imaging, solar
+from sylvameter.functions import biomass, diagnostics, geometry, imaging, polygon, solar
 from sylvameter.operators import batch, dedup, intervals, links, measure, tagging
 from sylvameter.sources import corpus
 
@@ -153,3 +153,20 @@ def test_links(spark):
     ids = spark.createDataFrame([(corpus.generate()[0]["public_id"],), ("a/b",)], "public_id string")
     found = {r.public_id: r for r in links.provenance(corpus.assets(spark), log, ids).collect()}
     assert found["a/b"].status == "NOT_FOUND" and found["a/b"].derived == 2 and found["a/b"].folder == "a"
+
+
+def test_polygons(spark):
+    side = 0.001
+    ring = [["10.000000", "50.000000"], [f"{10 + side:.6f}", "50.000000"], [f"{10 + side:.6f}", f"{50 + side:.6f}"], ["10.000000", f"{50 + side:.6f}"], ["10.000000", "50.000000"]]
+    short = [[x.rstrip("0") for x in p] for p in ring]
+    rows = [(ring, 5.0), (None, 5.0), (None, 3.0), (short, 5.0), (ring[:-1], 5.0), ([ring[0]] * 4, 5.0)]
+    got = spark.createDataFrame(rows, "ring array<array<string>>, ha double").select(polygon.area_ha(F.col("ring")).alias("a"), polygon.polygon_problem(F.col("ring"), F.col("ha")).alias("p")).collect()
+    assert got[0].a == pytest.approx(111_195 * side * 111_195 * side * np.cos(np.radians(50)) / 1e4, rel=0.01)
+    assert [r.p for r in got] == [None, "polygon_missing", None, "too_few_decimals", "ring_not_closed", "no_area"]
+
+
+def test_ingest_batches_and_image_limits(spark):
+    files = spark.createDataFrame([(f"f{i}",) for i in range(500)], "path string")
+    assert measure.ingest_batches(files, 5).groupBy("batch").count().agg(F.max("count")).first()[0] <= 5
+    big = spark.createDataFrame([("big", 10_000, 10_000, b"")], "image_id string, height int, width int, data binary")
+    assert measure.measure_images(big).first().error == "too many pixels"
