@@ -14,6 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sylvameter.llm.common import own_exchange
 from sylvameter.session import materialise
 
 _KEY = ["h1", "h2"]
@@ -29,7 +30,7 @@ def _occurrences(docs: DataFrame, site: str) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64("text").alias("text_key"),
         F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"),
-        F.posexplode(_lines()).alias("pos", "line"),
+        F.posexplode_outer(_lines()).alias("pos", "line"),  # the plain form would split each text twice
     )
     line = F.trim("line")
     kept = rows.where(F.instr(line, " ") > 0)
@@ -40,14 +41,14 @@ def line_spread(docs: DataFrame, site: str = "source", least_sites: int = 5, lg_
     """(occurrences of frequent lines, boilerplate lines (h1, h2, n_sites, exact))."""
     found = _occurrences(docs, site)
     frequent = found.groupBy(*_KEY).agg(F.count("*").alias("n")).where(F.col("n") >= least_sites).drop("n")
-    held = materialise(found.join(frequent, _KEY))
+    held = materialise(found.join(own_exchange(frequent, *_KEY), _KEY))
     sketches = held.groupBy(*_KEY).agg(F.hll_sketch_agg("site", lg_k).alias("sketch"))
     spread = sketches.select(*_KEY, F.hll_sketch_estimate("sketch").alias("n_sites"))
     error = 1 + 4 * 1.04 / math.sqrt(2**lg_k)
     low, high = math.floor(least_sites / error), math.ceil(least_sites * error)
     spread = materialise(spread.where(F.col("n_sites") >= low))
     near = spread.where(F.col("n_sites") <= high)
-    pairs = held.join(near.select(*_KEY), _KEY, "left_semi").groupBy(*_KEY, "site").agg(F.lit(1).alias("one"))
+    pairs = held.join(own_exchange(near.select(*_KEY), *_KEY), _KEY, "left_semi").groupBy(*_KEY, "site").agg(F.lit(1).alias("one"))
     exact = pairs.groupBy(*_KEY).agg(F.count("*").alias("n_sites")).where(F.col("n_sites") >= least_sites)
     sure = spread.where(F.col("n_sites") > high)
     return held, sure.withColumn("exact", F.lit(False)).unionByName(exact.withColumn("exact", F.lit(True)))
@@ -58,7 +59,7 @@ def removals(docs: DataFrame, site: str = "source", least_sites: int = 5) -> Dat
     held, boilerplate = line_spread(docs, site, least_sites)
     first = held.groupBy(*_KEY).agg(F.min(F.struct("doc_id", "pos")).alias("first"))
     lines = boilerplate.join(first, _KEY).select(*_KEY, "first")
-    again = held.join(lines, _KEY).where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
+    again = held.join(own_exchange(lines, *_KEY), _KEY).where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
     return again.groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("places"))
 
 
