@@ -48,7 +48,8 @@ def line_spread(docs: DataFrame, site: str = "source", least_sites: int = 5, lg_
     low, high = math.floor(least_sites / error), math.ceil(least_sites * error)
     spread = materialise(spread.where(F.col("n_sites") >= low))
     near = spread.where(F.col("n_sites") <= high)
-    pairs = held.join(own_exchange(near.select(*_KEY), *_KEY), _KEY, "left_semi").groupBy(*_KEY, "site").agg(F.lit(1).alias("one"))
+    close = held.join(own_exchange(near.select(*_KEY), *_KEY), _KEY, "left_semi")
+    pairs = own_exchange(close, *_KEY).groupBy(*_KEY, "site").agg(F.lit(1).alias("one"))  # added up before its own exchange
     exact = pairs.groupBy(*_KEY).agg(F.count("*").alias("n_sites")).where(F.col("n_sites") >= least_sites)
     sure = spread.where(F.col("n_sites") > high)
     return held, sure.withColumn("exact", F.lit(False)).unionByName(exact.withColumn("exact", F.lit(True)))
