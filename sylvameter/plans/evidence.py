@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sylvameter.functions import biomass, solar
 from sylvameter.functions import text as text_functions
 from sylvameter.operators import batch, dedup, grounding, intervals, links, measure, tagging
+from sylvameter.session import spread
 from sylvameter.sources import corpus
 from sylvameter.sources.tables import table
 from sylvameter.streaming import notifications
@@ -176,7 +177,7 @@ def tag_conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 def number_extract(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.col("text"), F.lit(" Under VM0047, 1,234.5 t and "), F.col("n_chars").cast("string"), F.lit(" of 12% tCO2e, Article 9."))
-    found = table(spark, d, "documents").select("doc_id", text_functions.figures(text).alias("f"))
+    found = spread(table(spark, d, "documents").select("doc_id", "text", "n_chars")).select("doc_id", text_functions.figures(text).alias("f"))
     total = F.aggregate("f", F.lit(0.0), lambda a, x: a + F.least(F.coalesce(F.abs(text_functions.figure_value(x)), F.lit(0.0)), F.lit(1e6)))
     return found.select("doc_id", F.size("f").cast("long").alias("n"), F.round(total, 2).alias("total"))
 
