@@ -26,18 +26,14 @@ def nearest(probes: DataFrame, corpus: DataFrame, *, same_project: bool = False,
     """Each probe (asset_id, hi, lo, project_id, seq) with match_id and distance of its nearest corpus row.
 
     Ties go to the smaller seq, a distance of all 64 bits is no match, an asset matches itself only as a
-    resubmission. The corpus goes to all tasks in blocks whose size is checked: at most ``most_corpus`` rows each, cut
-    by ranges of seq. Each block leaves one candidate for each probe, so rows never multiply.
+    resubmission. The corpus goes to all tasks in blocks whose size is checked: about ``most_corpus`` rows each, dealt
+    by a hash of seq. Each block leaves one candidate for each probe, so no pair is ever shuffled.
     """
     small = corpus.select(F.col("asset_id").alias("c_id"), F.col("hi").alias("c_hi"), F.col("lo").alias("c_lo"), F.col("project_id").alias("c_project"), F.col("seq").alias("c_seq"))
-    bounds = small.agg(F.count("*").alias("n"), F.min("c_seq").alias("a"), F.max("c_seq").alias("b")).first()
-    blocks = max(1, -(-bounds["n"] // most_corpus))
+    blocks = max(1, -(-small.count() // most_corpus))
     best = probes
     for i in range(blocks):
-        part = small
-        if blocks > 1:
-            width = (bounds["b"] - bounds["a"] + 1) / blocks
-            part = small.where((F.col("c_seq") >= bounds["a"] + i * width) & (F.col("c_seq") < bounds["a"] + (i + 1) * width))
+        part = small.where(F.pmod(F.xxhash64("c_seq", "c_id"), F.lit(blocks)) == i) if blocks > 1 else small
         on = [F.lit(True)]
         if same_project:
             on.append(F.col("project_id") == F.col("c_project"))

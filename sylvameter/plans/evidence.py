@@ -208,7 +208,7 @@ def label_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ratio_test_knn(spark: SparkSession, d: str) -> DataFrame:
-    """Two nearest descriptors of every twentieth one; the queries are few and are broadcast by their checked share."""
+    """The two nearest descriptors of every twentieth one, kept if the first is clearly nearer than the second."""
     scaled = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long"))
     rows = table(spark, d, "embeddings").select("vec_id", scaled.alias("v"))
     asks = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("v").alias("qv"))
