@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylvameter.functions import geometry, imaging
+from sylvameter.session import ship
 
 
 #: The most pixels of an image that is decoded, and the most files of one ingest batch.
@@ -67,6 +68,7 @@ def measure_images(images: DataFrame) -> DataFrame:
                     rows.append(base | {"phash": imaging.perceptual_hash(rgb)} | imaging.forgery_signals(rgb) | imaging.image_signals(rgb))
             yield _frame(rows, names)
 
+    ship(images.sparkSession)
     return images.select("image_id", "height", "width", "data").mapInPandas(run, schema)
 
 
@@ -103,6 +105,7 @@ def measure_pairs(pairs: DataFrame) -> DataFrame:
                 rows.append({"pair_id": row.pair_id, "gain_status": gains["status"], "gains": gains["gains"]} | imaging.canopy_change(a, fixed))
             yield _frame(rows, [c.strip().split(" ")[0] for c in schema.split(",")])
 
+    ship(pairs.sparkSession)
     return pairs.mapInPandas(run, schema)
 
 
@@ -119,4 +122,5 @@ def register_pairs(points: DataFrame) -> DataFrame:
         found = geometry.register(pdf[["sx", "sy"]].to_numpy(float), pdf[["dx", "dy"]].to_numpy(float), pdf["ratio"].to_numpy(float), seed)
         return _frame([{"pair_id": pdf["pair_id"].iloc[0]} | found], [c.strip().split(" ")[0] for c in schema.split(",")])
 
+    ship(points.sparkSession)
     return points.groupBy("pair_id").applyInPandas(run, schema)

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 
 def local_session(cpus: int | None = None, memory: str = "8g", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
@@ -56,3 +60,22 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors once for each application, unless their search path has it already.
+
+    Python workers import it by name. With ``PYTHONPATH`` or ``spark.submit.pyFiles`` set, nothing is sent.
+    """
+    context = spark.sparkContext
+    root = Path(__file__).resolve().parent.parent
+    if context.applicationId in _shipped or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    _shipped.add(context.applicationId)
+    if not (root / "sylvameter").is_dir():  # it came in an archive itself
+        return
+    archive = Path(tempfile.mkdtemp(prefix="sylvameter-ship-")) / "sylvameter-package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted((root / "sylvameter").rglob("*.py")):
+            out.write(path, path.relative_to(root))
+    context.addPyFile(str(archive))

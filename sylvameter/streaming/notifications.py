@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sylvameter.session import ship
+
 #: Seconds for which a signed time is fresh, header names, and handled kinds.
 FRESH_SECONDS = 7200
 SIGNATURE_HEADERS = ("x-cld-signature", "x-signature")
@@ -109,6 +111,7 @@ def process(df: DataFrame, secret: str | None, keep_hours: int = 24, **settings)
 
     from pyspark.sql.streaming.state import GroupStateTimeout
 
+    ship(df.sparkSession)
     timed = rows.withWatermark("received_at", f"{FRESH_SECONDS} seconds")
     return timed.groupBy("key").applyInPandasWithState(once, RESULT, "seen boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
