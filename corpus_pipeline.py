@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sylvameter.llm import contamination, langid, linededup, packing, simhash, tokens
 from sylvameter.llm.common import held_out
-from sylvameter.session import shared_folder
+from sylvameter.session import shared_folder, ship
 from sylvameter.sources.tables import table
 
 #: Least posterior of the predicted language for a document to stay.
@@ -22,6 +22,7 @@ LEAST_POSTERIOR = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model tells; those without a letter and those in doubt go."""
+    ship(spark)
     model = langid.train(docs, ~held_out())
     if model is None:  # nothing says what languages there are
         return docs.where(F.col("text").rlike(r"\p{L}"))
