@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvameter.llm import contamination, langid, linededup, packing, simhash, tokens
+from sylvameter.llm import contamination, langid, linededup, neardup, packing, tokens
 from sylvameter.llm.common import held_out
 from sylvameter.session import shared_folder, ship
 from sylvameter.sources.tables import table
@@ -38,8 +38,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.representatives(docs)
+    """One document of each group of near-duplicates: five-word shingles of a Jaccard similarity of 0.8 or more."""
+    return neardup.representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
