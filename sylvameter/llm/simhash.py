@@ -144,10 +144,3 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int
     # one row for each fingerprint, so that a fingerprint with a third of all rows is split on the side of documents
     final = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return marked.join(own_exchange(final, "fp"), "fp", "left").select("doc_id", "fp", "component_id")
-
-
-def representatives(docs: DataFrame, **settings: int) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay when one document of each group stays: the smallest doc_id's."""
-    groups = near_duplicates(docs, **settings)
-    stays = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(stays, "doc_id", "left_semi")

@@ -52,3 +52,14 @@ def test_stage_keeps_one_of_each_group_of_similar_texts(spark, data):
     got = corpus_pipeline.near_dedup(spark, df, data)
     assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == sorted(wanted)
     assert {r.doc_id for r in neardup.representatives(df, large=2).collect()} == wanted
+
+
+def test_every_row_counts_by_itself(spark, data):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    text = [" ".join(word() for _ in range(40)) for _ in range(5)]
+    rows = [(None, text[0]), (7, text[1]), (7, text[2]), (8, text[3]), (8, text[3]), (None, text[3]), (None, text[4]), (None, text[4]), (9, None), (3, " \n")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, df, data).collect()), key=repr)
+    assert got == sorted([(None, text[0]), (7, text[1]), (7, text[2]), (8, text[3]), (None, text[4]), (3, " \n")], key=repr)
+    assert neardup.representatives(df.limit(0)).count() == 0
