@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylvameter.llm.common import slices
-from sylvameter.llm.tokens import ids_bytes, read_encoding
+from sylvameter.llm.tokens import read_added, read_encoding, whole_ids_bytes
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -141,7 +141,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = read_encoding(tokenizer)
+        encoding, added = read_encoding(tokenizer), read_added(tokenizer)
         end = end_id.to_bytes(4, "little")
         context = TaskContext.get()
         packer = Packer((context.partitionId() if context else 0) << 40, capacity)
@@ -154,7 +154,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
 
         for batch in slices(batches, "text"):
             for doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
-                packer.add(doc_id, ids_bytes(encoding, text or "") + end)
+                packer.add(doc_id, whole_ids_bytes(encoding, added, text or "") + end)
             if len(packer.rows) > 5000:
                 yield rows()
         packer.pack()
