@@ -33,9 +33,32 @@ def read_encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Runs of white space that are longer are split off before the pattern, whose lookahead needs stack for each character.
+LONG_SPACE = 10_000
+#: The Unicode property White_Space, which Python's own class differs from.
+_SPACE = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_SPACE},}}")
+
+
+def _ordinary(encoding: tiktoken.Encoding, text: str) -> array:
+    """The ids of a text without added tokens.
+
+    Of white space before a word the pattern takes all but the last character as one piece, and all at the end of a text.
+    """
+    if len(text) < LONG_SPACE:
+        return array("I", encoding.encode_ordinary(text))
+    out, at = array("I"), 0
+    for run in _SPACE.finditer(text):
+        stop = run.end() if run.end() == len(text) else run.end() - 1
+        out.extend(encoding.encode_ordinary(text[at : run.start()]))
+        out.extend(encoding._encode_single_piece(text[run.start() : stop]))
+        at = stop
+    out.extend(encoding.encode_ordinary(text[at:]))
+    return out
+
+
 def ids_bytes(encoding: tiktoken.Encoding, text: str) -> bytes:
     """The ids of ``text`` as unsigned 32-bit numbers in native (little-endian) order."""
-    return array("I", encoding.encode_ordinary(text)).tobytes()
+    return _ordinary(encoding, text).tobytes()
 
 
 def read_added(path: str) -> dict[str, int]:
