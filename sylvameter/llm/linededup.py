@@ -14,10 +14,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sylvameter.llm.common import own_exchange
+from sylvameter.llm.common import own_exchange, unused
 from sylvameter.session import materialise
 
 _KEY = ["h1", "h2"]
+LEAST_BYTES = 8
+#: The characters of the Unicode property White_Space but the line feed, which parts lines.
+WHITE = "\t\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _lines() -> Column:
@@ -25,15 +28,16 @@ def _lines() -> Column:
 
 
 def _occurrences(docs: DataFrame, site: str) -> DataFrame:
-    """doc_id, text_key, site, pos, h1, h2 of each line of two words or more, spaces at its ends aside."""
-    rows = docs.select(
+    """doc_id, text_key, site, pos, h1, h2 of each line that takes part, white space at its ends aside."""
+    texts = docs.select(  # by itself: beside the generator a text would be hashed for each of its lines
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64("text").alias("text_key"),
         F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"),
-        F.posexplode_outer(_lines()).alias("pos", "line"),  # the plain form would split each text twice
+        _lines().alias("lines"),
     )
-    line = F.trim("line")
-    kept = rows.where(F.instr(line, " ") > 0)
+    rows = texts.select("doc_id", "text_key", "site", F.posexplode_outer("lines").alias("pos", "line"))
+    line = F.btrim("line", F.lit(WHITE))
+    kept = rows.where(F.octet_length(line) >= LEAST_BYTES)
     return kept.select("doc_id", "text_key", "site", "pos", F.xxhash64(line).alias("h1"), F.crc32(line).alias("h2"))
 
 
@@ -56,53 +60,63 @@ def line_spread(docs: DataFrame, site: str = "source", least_sites: int = 5, lg_
 
 
 def removals(docs: DataFrame, site: str = "source", least_sites: int = 5) -> DataFrame:
-    """doc_id, text_key, places: the line numbers (from 0) that each document loses."""
+    """doc_id, text_key, places: the line numbers (from 0, ascending) that each document loses."""
     held, boilerplate = line_spread(docs, site, least_sites)
     first = held.groupBy(*_KEY).agg(F.min(F.struct("doc_id", "pos")).alias("first"))
     lines = boilerplate.join(first, _KEY).select(*_KEY, "first")
     again = held.join(own_exchange(lines, *_KEY), _KEY).where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
-    return again.groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("places"))
+    return again.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("pos")).alias("places"))
+
+
+def _without(lines: Column, places: Column) -> Column:
+    """``lines`` but those at ``places`` (ascending), in one step for each line."""
+    before = F.concat(F.array(F.lit(-1)), F.slice(places, 1, F.size(places) - 1))
+    stays, goes = F.lit(False), F.array(F.lit(True))
+    marks = F.zip_with(places, before, lambda p, q: F.concat(F.array_repeat(stays, p - q - 1), goes))
+    rest = F.array_repeat(stays, F.size(lines) - 1 - F.element_at(places, -1))
+    zipped = F.arrays_zip(lines.alias("line"), F.flatten(F.concat(marks, F.array(rest))).alias("goes"))
+    return F.transform(F.filter(zipped, lambda x: ~x["goes"]), lambda x: x["line"])
 
 
 def remove_boilerplate(docs: DataFrame, site: str = "source", least_sites: int = 5) -> DataFrame:
     """``docs``, all columns, with ``text`` cleaned, and n_lines and n_removed beside.
 
-    A null text stays null and has no lines removed; an empty one has one empty line. Lines of fewer than two words
-    always stay, blank ones too. Repeated rows (same doc_id and text) are one document: they keep and lose the same
-    lines. A null site is a site of its own; a null doc_id comes first among equals. No rows give no rows.
+    A null text stays null and has no lines removed; an empty one has one empty line. Lines of fewer than LEAST_BYTES
+    bytes always stay, blank ones too. Repeated rows (same doc_id and text) are one document: they keep and lose the same
+    lines. A null site is a site of its own; a null doc_id comes first among equals. Columns of any name are carried;
+    where ``docs`` has an n_lines or n_removed, the new one gets an underscore. No rows give no rows.
     """
+    names = {k: unused(k, docs.columns) for k in ("lost_id", "lost_key", "places", "n_lines", "n_removed")}
     lost = removals(docs, site, least_sites).select(
-        F.col("doc_id").alias("__doc_id"), F.col("text_key").alias("__text_key"), F.col("places").alias("__places")
+        F.col("doc_id").alias(names["lost_id"]), F.col("text_key").alias(names["lost_key"]), F.col("places").alias(names["places"])
     )
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")) & (F.xxhash64("text") == F.col("__text_key"))
-    joined = docs.join(lost, same, "left")
-    gone = F.map_from_arrays(F.col("__places"), F.transform("__places", lambda p: F.lit(True)))
-    kept = F.filter(_lines(), lambda line, i: ~F.coalesce(F.element_at(gone, i), F.lit(False)))
-    columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    places = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    cleaned = joined.select(
-        *columns,
-        F.when(F.col("__places").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines())).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__places"), F.lit(0)).cast("long").alias("n_removed"),
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(names["lost_id"])) & (F.xxhash64("text") == F.col(names["lost_key"]))
+    joined, places = docs.join(lost, same, "left"), F.col(names["places"])
+    cleaned = F.when(places.isNull(), F.col("text")).otherwise(F.array_join(_without(_lines(), places), "\n")).alias("text")
+    return joined.select(
+        *[cleaned if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines())).cast("long").alias(names["n_lines"]),
+        F.coalesce(F.size(places), F.lit(0)).cast("long").alias(names["n_removed"]),
     )
-    return cleaned.select(*[F.col(f"`{c}`") for c in places], "n_lines", "n_removed")
 
 
 def oracle_sql(least_sites: int = 5) -> str:
     """The same in DuckDB, for documents (doc_id, text, source): doc_id, text, n_lines, n_removed."""
+    white = " || ".join(f"chr({ord(c)})" for c in WHITE)
     return f"""
 WITH texts AS (
   SELECT doc_id, coalesce(source, '') AS site, text, string_split(text, chr(10)) AS parts FROM documents
 ), lines AS (
   SELECT doc_id, site, generate_subscripts(parts, 1) AS pos, unnest(parts) AS line FROM texts
+), bare AS (
+  SELECT *, trim(line, {white}) AS core FROM lines
 ), known AS (
-  SELECT trim(line, ' ') AS line, arg_min(doc_id, (doc_id, pos)) AS first_doc, arg_min(pos, (doc_id, pos)) AS first_pos
-  FROM lines WHERE instr(trim(line, ' '), ' ') > 0
+  SELECT core, arg_min(doc_id, (doc_id, pos)) AS first_doc, arg_min(pos, (doc_id, pos)) AS first_pos
+  FROM bare WHERE octet_length(encode(core)) >= {LEAST_BYTES}
   GROUP BY 1 HAVING count(DISTINCT site) >= {least_sites}
 ), marked AS (
-  SELECT l.doc_id, l.pos, l.line, k.line IS NOT NULL AND NOT (l.doc_id = first_doc AND l.pos = first_pos) AS gone
-  FROM lines l LEFT JOIN known k ON trim(l.line, ' ') = k.line
+  SELECT l.doc_id, l.pos, l.line, k.core IS NOT NULL AND NOT (l.doc_id = first_doc AND l.pos = first_pos) AS gone
+  FROM bare l LEFT JOIN known k ON l.core = k.core
 )
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text,
        count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_removed
