@@ -22,21 +22,27 @@ def codes(text: str) -> np.ndarray:
     return np.concatenate(([np.uint32(32)], out, [np.uint32(32)])).astype(np.uint32) if len(out) else out
 
 
-def grams(c: np.ndarray, orders: tuple[int, ...], buckets: int) -> Iterator[np.ndarray]:
-    """For each order n, the bucket of each run of n code points. ``buckets`` is a power of two."""
-    h = np.zeros(len(c), np.uint32)
-    with np.errstate(over="ignore"):
+def batch_grams(texts: list[np.ndarray], orders: tuple[int, ...], buckets: int, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, bucket) of every run of n codes that lies in one of ``texts`` (as ``codes`` gives them), for each order n.
+
+    Rows ascend within a part. A part has the runs that start in ``most`` codes in a row, so memory does not grow with
+    the texts, and each run is in exactly one part. ``buckets`` is a power of two.
+    """
+    whole = np.concatenate([*texts, np.empty(0, np.uint32)])
+    ends = np.cumsum([len(t) for t in texts])
+    for at in range(0, len(whole), most):
+        c = whole[at : at + most + max(orders) - 1]
+        starts = np.arange(at, min(at + most, len(whole)))
+        rows = np.searchsorted(ends, starts, "right")
+        room = ends[rows] - starts
+        h = np.zeros(len(c), np.uint32)
         for n in range(1, max(orders) + 1):
             if len(c) < n:
-                return
+                break
             h = (h[: len(c) - n + 1] ^ c[n - 1 :]) * _A
             h ^= h >> np.uint32(15)
             if n in orders:
-                mixed = (h + np.uint32(n)) * _B
-                yield (mixed >> np.uint32(16) ^ mixed) & np.uint32(buckets - 1)
-
-
-def long_parts(text: str, most: int = 1 << 18, overlap: int = 4) -> Iterator[str]:
-    """The text in parts of at most ``most`` characters, so that a very long one needs no more memory."""
-    for at in range(0, max(1, len(text)), most):
-        yield text[at : at + most]
+                own = h[: len(starts)]
+                inside = np.flatnonzero(room[: len(own)] >= n)
+                mixed = (own[inside] + np.uint32(n)) * _B
+                yield rows[inside], (mixed >> np.uint32(16) ^ mixed) & np.uint32(buckets - 1)

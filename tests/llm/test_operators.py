@@ -22,6 +22,7 @@ from sylvameter.llm import (
     extraction,
     langid,
     linededup,
+    ngrams,
     packing,
     queries,
     secrets,
@@ -270,9 +271,55 @@ def test_language_id(spark, data, odd):
     out = {(r.doc_id, r.text): r for r in langid.identify(odd, model, "doc_id", "text", "text_").collect()}
     assert all(r.lang_pred == "und" and r.score == 0 for (i, t), r in out.items() if not any(map(str.isalpha, t or "")))
     assert all(r.lang_pred != "und" and 0 < r.score <= 1 for (i, t), r in out.items() if any(map(str.isalpha, t or "")))
+    assert {(r.score, r.score_) for r in langid.identify(odd, model, "doc_id", "score").collect()} > {(1.0, 0.0)}
+    kept = langid.in_a_language(odd, model, 0.0, -1e9)
+    assert kept.columns == odd.columns and kept.count() == sum(any(map(str.isalpha, r.text or "")) for r in odd.collect())
     none = langid.train(odd.withColumn("lang", F.lit(None).cast("string")), ~held_out())
     assert none is None and langid.identify(odd, none, "doc_id").where("lang_pred <> 'und'").count() == 0
-    assert langid.identify(odd.limit(0), model, "doc_id").count() == 0
+    assert langid.in_a_language(odd, None, 0.5, 0).count() == kept.count()
+    assert langid.identify(odd.limit(0), model, "doc_id").count() == langid.in_a_language(odd.limit(0), model, 0.5, 0).count() == 0
+    assert langid.train(odd.limit(0), ~held_out()) is None
+
+
+def test_sparse_batches_are_exact():
+    """Sums of any batch and any length are those of one n-gram after the other, ends of parts included."""
+    rng = random.Random(9)
+    texts = ["", "a", " ab ", "x1y", "".join(rng.choice("abcdé ") for _ in range(3000)), "ñ" * 5, "".join(rng.choice("xyz ") for _ in range(300_000))]
+    weights = np.random.default_rng(3).integers(-(1 << 24), 0, (langid.BUCKETS, 3)).astype(np.int32)
+    whole = [ngrams.codes(t) for t in texts]
+    got, n = langid._sums(whole, weights)
+    for i, c in enumerate(whole):
+        one, k = np.zeros(3, np.int64), 0
+        for rows, buckets in ngrams.batch_grams([c], langid.ORDERS, langid.BUCKETS, most=1 << 30):
+            one, k = one + weights[buckets].sum(axis=0, dtype=np.int64), k + len(buckets)
+        assert (got[i] == one).all() and n[i] == k == sum(max(0, len(c) - o + 1) for o in langid.ORDERS)
+    small = list(ngrams.batch_grams(whole[:6], langid.ORDERS, langid.BUCKETS, most=7))
+    large = list(ngrams.batch_grams(whole[:6], langid.ORDERS, langid.BUCKETS, most=1 << 20))
+    flat = lambda parts: sorted(zip(np.concatenate([p[0] for p in parts]).tolist(), np.concatenate([p[1] for p in parts]).tolist(), strict=True))
+    assert flat(small) == flat(large)
+    # by the definition, hash by hash
+    c = [int(x) for x in whole[3]]
+    want = []
+    for o in langid.ORDERS:
+        for i in range(len(c) - o + 1):
+            h = 0
+            for x in c[i : i + o]:
+                h = (h ^ x) * 0x9E3779B1 % (1 << 32)
+                h ^= h >> 15
+            m = (h + o) * 0x85EBCA6B % (1 << 32)
+            want.append((m >> 16 ^ m) & (langid.BUCKETS - 1))
+    assert sorted(b for p in ngrams.batch_grams([whole[3]], langid.ORDERS, langid.BUCKETS) for b in p[1].tolist()) == sorted(want)
+
+
+def test_priors_and_fit(spark, docs):
+    model = langid.train(docs, ~held_out())
+    held = Counter(r.lang for r in docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).collect())
+    total = sum(held.values()) + len(held)
+    assert np.allclose(np.exp(model.priors), [(held[k] + 1) / total for k in model.languages])
+    rng = random.Random(7)
+    noise = ["".join(rng.choice("bcdfghjklmnpqrstvwxz ") for _ in range(400)), "Все люди рождаются свободными и равными в своем достоинстве и правах. " * 5]
+    own = [r.text for r in docs.where("n_chars > 300").collect()]
+    assert max(model.predict(noise)[2]) < -1.5 < min(model.predict(own)[2])  # a model of few rows; -5 and -1 at 10,000
 
 
 # --- 7 token counts
