@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, learns: Column, sample: int = 10_0
     """A model from the rows of ``docs`` (doc_id, text) that have a label (doc_id, toxic) and that ``learns`` selects.
 
     At most about ``sample`` rows of each label are used. A document with several labels is toxic if one says so; null
-    labels are none. None where a label is missing altogether.
+    labels are none. None where a label is missing altogether, as it is where either table is empty.
     """
     spark = docs.sparkSession
     marks = labels.where(learns & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
@@ -158,6 +158,8 @@ def train(docs: DataFrame, labels: DataFrame, learns: Column, sample: int = 10_0
         )
     )
     n = {(r["toxic"], r["fold"]): r["n"] for r in rows.groupBy("toxic", "fold").agg(F.count("*").alias("n")).collect()}
+    if len({toxic for toxic, _ in n}) < 2:  # no document has one of the labels
+        return None
     counted = rows.select("text", "toxic", "fold").mapInArrow(_count_terms, "term string, toxic int, fold int, n long")
     by_term = counted.groupBy("term").agg(
         *[F.sum(F.when((F.col("toxic") == y) & (F.col("fold") == k), F.col("n")).otherwise(0)).alias(f"n{y}{k}") for y in (0, 1) for k in range(FOLDS)]
@@ -194,11 +196,13 @@ def train(docs: DataFrame, labels: DataFrame, learns: Column, sample: int = 10_0
 def score_toxicity(docs: DataFrame, model: Model | None, *carried: str) -> DataFrame:
     """The ``carried`` columns with score and predicted for each row of ``docs``; only ``text`` is looked at.
 
-    A null text counts as empty; every row has a score; repeated rows get the same one. Without a model (no labels)
-    the score is 0.
+    A null text counts as empty; every row has a score, a text of any length is read whole, and repeated rows get the
+    same one. Without a model (no labels) the score is 0. No rows give no rows. Where a carried column has one of these
+    names, the new one gets an underscore.
     """
-    schema = docs.select(*carried).schema
-    names = [*carried, "score", "predicted"]
+    columns = [F.col(f"`{c}`") for c in carried]
+    names = [*carried, *(unused(k, list(carried)) for k in ("score", "predicted"))]
+    schema = docs.select(*columns).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,5 +212,5 @@ def score_toxicity(docs: DataFrame, model: Model | None, *carried: str) -> DataF
             new = [pa.array(found, pa.float64()), pa.array((found >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names)
 
-    out = schema.add("score", "double").add("predicted", "integer")
-    return docs.select(*carried, F.col("text").alias(unused("text", docs.columns))).mapInArrow(score, out)
+    out = schema.add(names[-2], "double").add(names[-1], "integer")
+    return docs.select(*columns, F.col("text").alias(unused("text", docs.columns))).mapInArrow(score, out)

@@ -249,6 +249,9 @@ def test_toxicity(spark, odd):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
     out = toxicity.score_toxicity(odd, model, "doc_id").collect()
     assert len(out) == odd.count() and all(r.score is not None for r in out)
+    clash = toxicity.score_toxicity(odd.withColumn("predicted", F.lit("p")), model, "doc_id", "score", "predicted")
+    assert clash.columns == ["doc_id", "score", "predicted", "score_", "predicted_"] and {(r.score, r.predicted) for r in clash.collect()} == {(1.0, "p")}
+    assert toxicity.train(docs.limit(0), marks, ~held_out()) is None and toxicity.score_toxicity(odd.limit(0), model, "doc_id").count() == 0
     assert toxicity.train(docs, marks.limit(0), ~held_out()) is None and toxicity.score_toxicity(docs, None, "doc_id").where("score <> 0").count() == 0
     plain = toxicity.features("You STUPID i.d.i.0.t, fool!!!", toxicity.Lexicon({}, {}))
     assert len(plain) == toxicity.FEATURES and plain[1] > 0 and plain[9] > 0 and plain[13] > 0
@@ -261,6 +264,30 @@ def test_toxicity_of_the_documents(spark, data):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in model_rows)
 
 
+def _auc(score, y):
+    order = np.argsort(np.argsort(score, kind="stable"), kind="stable").astype(float)
+    for v in np.unique(score):  # ties share their ranks
+        same = score == v
+        order[same] = order[same].mean()
+    n = y.sum()
+    return (order[y == 1].sum() - n * (n - 1) / 2) / (n * (len(y) - n))
+
+
+def test_held_out_quality(spark):
+    """On held-out rows of larger tables: order, calibration and decisions of op5, and accuracy of op6."""
+    folder = "/root/testdata/sf0.1"
+    labels = table(spark, folder, "labels").select("doc_id", "toxic")
+    rows = queries.op5_toxicity(spark, folder).where("held_out").join(labels.where("toxic is not null"), "doc_id").select("score", "predicted", "toxic").toPandas()
+    score, y = rows.score.to_numpy(), rows.toxic.to_numpy()
+    assert len(y) > 200 and _auc(score, y) > 0.95
+    hit = ((rows.predicted == 1) & (y == 1)).sum()
+    assert hit >= 0.85 * y.sum() and hit >= 0.95 * rows.predicted.sum()
+    assert abs(score.mean() - y.mean()) < 0.03 and ((score - y) ** 2).mean() < 0.02  # calibrated as a whole, small Brier score
+    langs = queries.op6_language_id(spark, folder).where("held_out").join(table(spark, folder, "documents").select("doc_id", "lang"), "doc_id").where("lang is not null")
+    found = langs.agg(F.count("*").alias("n"), F.sum((F.col("lang") == F.col("lang_pred")).cast("int")).alias("good")).first()
+    assert found.good >= 0.995 * found.n > 1000
+
+
 # --- 6 language ID
 
 
