@@ -35,8 +35,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many sites share; those that consist of nothing else go."""
     cleaned = linededup.remove_boilerplate(docs)
-    left = cleaned.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    n_removed = F.col(cleaned.columns[-1])  # the last of its columns, whatever name was free
+    left = cleaned.where((n_removed == 0) | F.col("text").rlike(r"\S"))
+    columns = [F.col(f"`{c}`") for c in docs.columns if c != "n_chars"]
+    n_chars = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return left.select(*columns, n_chars).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
