@@ -125,16 +125,41 @@ def test_top_k(spark, same_rows, data):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
     sound = [(i, [int(np.floor(256 * x)) for x in v]) for i, v, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     wanted = []
-    for q in sorted({i for i, _ in sound if i % 50 == 0}):
-        own = min(v for i, v in sound if i == q)
-        best = sorted((-sum(a * b for a, b in zip(own, v, strict=True)), i) for i, v in sound if i != q and len(v) == len(own))[:5]
-        wanted += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
-    for block in (4096, 2):
-        got = topk.top_k(df, F.col("vec_id") % 50 == 0, most_queries=block).select("query_id", "rank", "vec_id", "score").collect()
+    for n, (q, own) in enumerate(sound):
+        if q % 50 == 0:  # every row but the query's own: the other row of id 50 is a candidate
+            best = sorted((-sum(a * b for a, b in zip(own, v, strict=True)), i) for m, (i, v) in enumerate(sound) if m != n and len(v) == len(own))[:5]
+            wanted += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert sum(q == 50 for q, *_ in wanted) == 10
+    for block in (1 << 20, 14):
+        got = topk.top_k(df, F.col("vec_id") % 50 == 0, most_numbers=block).select("query_id", "rank", "vec_id", "score").collect()
         assert sorted(map(tuple, got)) == sorted(wanted)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("shift", [0, -3, 3])
+def test_each_phase_drops_entries(shift):
+    """The shares of the cutoff drop most pairs before their scores are known, and what is left is the exact answer."""
+    rng = np.random.default_rng(5)
+    vectors = (rng.normal(shift, 4, (3000, 32)) * 256).astype(np.int64)
+    rows = [{"row": i, "vec_id": i, "v": v.tolist()} for i, v in enumerate(vectors)]
+    queries, k, ids = rows[::50], 5, np.arange(3000)
+    first = topk.Block(queries)
+    gathered = list(first.lists(ids, ids, vectors, k))[0]
+    safe = {q: sorted(gathered[4][gathered[0] == q])[-k] for q in range(0, 3000, 50)}
+    second = topk.Block(queries, safe)
+    got = list(second.lists(ids, ids, vectors, k))[0]
+    for q in range(0, 3000, 50):
+        scores = vectors @ vectors[q]
+        order = [i for i in np.lexsort((ids, -scores)) if i != q][:k]
+        own = got[0] == q
+        assert safe[q] <= scores[order[-1]] and got[3][own].tolist() == order and got[4][own].tolist() == scores[order].tolist()
+    passed = second.passed
+    assert passed["passed"] == 300 and passed["entries"] < passed["pairs"] == 60 * 3000
+    assert passed["resolved"] <= 3 * passed["entries"]  # partial scores
+    if not shift:
+        assert passed["entries"] < 0.45 * passed["pairs"] and passed["resolved"] < 1.5 * passed["entries"]
+
+
 # --- 3 html extraction
 
 PAGE = """<!doctype html><html><head><title>T</title><style>p{{}}</style></head><body><header class="site-header"><p>Site name</p></header><nav><a href=/>Home</a></nav>
