@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -29,12 +30,13 @@ def unused(name: str, columns: list[str]) -> str:
 
 
 def own_exchange(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` with ``keys`` (longs) as new expressions, for the side of a join that was just aggregated by them.
+    """``df`` with ``keys`` (longs or strings) as new expressions, for the side of a join that was just aggregated by them.
 
     The planner then exchanges this small side again instead of taking over its partitioning, and with an exchange of
     its own on both sides adaptive execution can split the partition of a hot key on the other side.
     """
-    return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0).cast("long")) for k in keys})
+    text = {f.name for f in df.schema.fields if isinstance(f.dataType, StringType)}
+    return df.withColumns({k: F.concat(k, F.lit("")) if k in text else F.col(k).bitwiseXOR(F.lit(0).cast("long")) for k in keys})
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str | int, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:

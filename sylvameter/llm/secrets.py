@@ -17,18 +17,23 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sylvameter.llm.common import own_exchange
 from sylvameter.session import materialise
 
 
 @dataclass(frozen=True)
 class Kind:
-    """A candidate pattern in Java syntax. ``value`` is the group with the secret, ``least`` its least code points."""
+    """A candidate pattern in Java syntax. ``value`` is the group with the secret, ``least`` its least code points.
+
+    ``mask`` is what replaces a match in redacted text; where it is empty, matches are not redacted.
+    """
 
     name: str
     pattern: str
     value: int
     least: int
     base: bool
+    mask: str = ""
 
 
 #: The base kinds, in the order that breaks ties between spans that start together.
@@ -39,10 +44,11 @@ BASE_KINDS = (
         2,
         6,
         True,
+        "$1=[secret]",
     ),
-    Kind("access", r"AKIA[A-Z0-9]+", 0, 20, True),
+    Kind("access", r"AKIA[A-Z0-9]+", 0, 20, True, "[secret]"),
     # shorter runs fail anyway, and a run has one match whatever its least length
-    Kind("hex", r"[0-9a-f]{24,}", 0, 24, True),
+    Kind("hex", r"[0-9a-f]{24,}", 0, 24, True, "[secret]"),
 )
 #: Kinds that the ownership count decides on.
 METHOD_KINDS = (
@@ -112,13 +118,14 @@ def ownership(found: DataFrame) -> DataFrame:
 
 def scan_secrets(
     docs: DataFrame,
-    repository: str = "source",
+    repository: str = "doc_id",
     owner: str = "source",
     most_owners: int = 2,
     kinds: tuple[Kind, ...] = BASE_KINDS + METHOD_KINDS,
 ) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text, and the repository and owner columns).
 
+    Without other columns a document stands for a repository and its source for the owner.
     Returns doc_id; findings, an array of (kind, start, stop, live, n_repositories, n_owners, n_uses) by start and then
     kind order. ``live`` says that at most ``most_owners`` owners hold the value. Candidates of kinds that are not of
     the base are left out unless they are live. Documents without findings, with null or empty text, have an empty
@@ -130,7 +137,7 @@ def scan_secrets(
     name = F.element_at(F.array(*[F.lit(k.name) for k in kinds]), F.col("kind") + 1)
     judged = (
         found.where("kind is not null")
-        .join(wide, "hash")
+        .join(own_exchange(wide, "hash"), "hash")  # a hot value splits on the side of the candidates
         .withColumn("live", F.col("n_owners") <= most_owners)
         .where(base | F.col("live"))
         .select(
@@ -154,9 +161,58 @@ def spans_text(findings: Column) -> Column:
     return F.array_join(F.transform(findings, lambda f: F.concat_ws(":", f["kind"], f["start"], f["stop"])), ",")
 
 
-def redact(docs: DataFrame, patterns: tuple[Kind, ...] = BASE_KINDS, mask: str = "[secret]") -> DataFrame:
-    """``docs`` with all but the key words of base matches in ``text`` replaced; other columns stay."""
+def redact(docs: DataFrame, kinds: tuple[Kind, ...] = BASE_KINDS) -> DataFrame:
+    """``docs`` with all but the key words of matches in ``text`` replaced; other columns stay, null texts too.
+
+    Matches whose value is too short stay as they are.
+    """
     text = F.col("text")
-    for kind in patterns:
-        text = F.regexp_replace(text, kind.pattern, "$1=" + mask if kind.value else mask)
+    for kind in kinds:
+        if kind.mask:
+            value = kind.pattern.removesuffix(")").removesuffix("+") if kind.value else kind.pattern.removesuffix("+")
+            least = kind.least - (len("AKIA") if kind.name == "access" else 0)
+            long = kind.pattern if value == kind.pattern else f"{value}{{{least},}}" + (")" if kind.value else "")
+            text = F.regexp_replace(text, long, kind.mask)
     return docs.withColumn("text", text)
+
+
+def oracle_sql(most_owners: int = 2) -> str:
+    """The columns of the query in DuckDB, for documents (doc_id, text, source); patterns in RE2 syntax, written out."""
+    kinds = (
+        (0, "assign", r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
+        (1, "access", r"AKIA[A-Z0-9]+", 0, 20),
+        (2, "hex", r"[0-9a-f]+", 0, 24),
+        (3, "opaque", r"[A-Za-z0-9]+", 0, 16),
+    )
+    found = " UNION ALL ".join(
+        f"""SELECT r, source, {i} AS kind, '{name}' AS name, {least} AS least, string_split_regex(t, '{p}') AS gaps,
+        regexp_extract_all(t, '{p}', 0) AS wholes, regexp_extract_all(t, '{p}', {group}) AS vals FROM texts"""
+        for i, name, p, group, least in kinds
+    )
+    return f"""
+WITH texts AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents
+), found AS ({found}), matches AS (
+  SELECT r, source, kind, name, least, generate_subscripts(wholes, 1) AS k, unnest(wholes) AS whole, unnest(vals) AS val,
+         unnest(gaps[1:len(wholes)]) AS gap
+  FROM found
+), placed AS (
+  SELECT *, CAST(sum(length(gap) + length(whole)) OVER (PARTITION BY r, kind ORDER BY k) AS BIGINT) AS stop FROM matches
+), passing AS (
+  SELECT r, source, kind, name, stop - length(whole) AS start, stop, sha256(val) AS hash FROM placed
+  WHERE length(val) >= least AND (kind < 3 OR regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]'))
+), owned AS (
+  SELECT hash, count(DISTINCT source) <= {most_owners} AS live FROM passing GROUP BY hash
+), judged AS (
+  SELECT r, kind, start, name || ':' || start || ':' || stop AS span, live FROM passing JOIN owned USING (hash) WHERE kind < 3 OR live
+), per_row AS (
+  SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+         string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY start, kind) AS spans,
+         count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example
+  FROM judged GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
+       coalesce(n_example, 0) AS n_example
+FROM texts LEFT JOIN per_row USING (r)
+"""
