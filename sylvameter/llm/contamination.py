@@ -8,7 +8,8 @@ the smallest class. A window is a candidate if any of 64 MinHash values equals t
 that is there is about one in a million, and 2 in 10,000 for an item of one shingle. Each candidate is then verified by the exact
 containment of the item's word shingles in the whole document.
 
-Items are held in blocks of bounded size, and documents are read once for each block; nothing is shuffled.
+Items are held in blocks that are bounded in number and in bytes, and documents are read once for each block; nothing is
+shuffled.
 """
 
 from __future__ import annotations
@@ -151,27 +152,30 @@ class Index:
         return [(item.item_id, share, len(item.shingles)) for item, share in found if share >= least]
 
 
-def _blocks(benchmark: DataFrame, most_items: int) -> Iterator[Index]:
-    """Indexes over at most about ``most_items`` items each."""
+def _blocks(benchmark: DataFrame, most_items: int, most_bytes: int) -> Iterator[Index]:
+    """Indexes over at most about ``most_items`` items and ``most_bytes`` bytes of text each."""
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    n = -(-items.count() // most_items)
+    size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = max(-(-size[0] // most_items), -(-size[1] // most_bytes))
     for i in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()
         yield Index([(r["item_id"], r["text"]) for r in rows])
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, most_items: int = 20_000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, most_items: int = 20_000, most_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, item_id, containment, n_shingles) for each document row and each item that it contains.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text. An item of fewer than five words is one shingle of
     all its words; one without words is in no document, and a null or empty document has no item. Repeated rows of
-    either side give repeated rows. Empty tables give no rows.
+    either side give repeated rows, texts of any length are searched whole, other columns are ignored. Empty tables give
+    no rows. An index goes to the driver and, broadcast, to executors; its texts take about ``most_bytes`` (a longer item
+    is a block of its own), and with what is built from them some ten times that.
     """
     schema = "doc_id long, item_id long, containment double, n_shingles long"
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     spark = docs.sparkSession
     result = spark.createDataFrame([], schema)
-    for index in _blocks(benchmark, most_items):
+    for index in _blocks(benchmark, most_items, most_bytes):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -188,11 +192,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, most
     return result
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, most_items: int = 20_000) -> DataFrame:
-    """The rows of ``docs``, all columns, that contain no item of ``benchmark``."""
+def without_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, most_items: int = 20_000, most_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of ``docs``, all columns of any name, that contain no item of ``benchmark``; else as ``find_leaks``."""
     spark = docs.sparkSession
     place = docs.columns.index("text")
-    for index in _blocks(benchmark, most_items):
+    for index in _blocks(benchmark, most_items, most_bytes):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -202,3 +206,26 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, m
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
+
+
+def oracle_sql(least: float = LEAST) -> str:
+    """The same in DuckDB by exact containment alone, for documents (doc_id, text) and benchmark (item_id, text)."""
+    return f"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL
+), i AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, item_id, w, least({WORDS}, len(w)) AS n
+  FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark WHERE text IS NOT NULL) WHERE len(w) > 0
+), item_shingles AS (
+  SELECT DISTINCT k, n, array_to_string(w[j:j + n - 1], ' ') AS s FROM (SELECT k, n, w, unnest(range(1, len(w) - n + 2)) AS j FROM i)
+), sizes AS (
+  SELECT k, count(*) AS n_shingles FROM item_shingles GROUP BY k
+), doc_shingles AS (
+  SELECT DISTINCT r, n, array_to_string(w[j:j + n - 1], ' ') AS s
+  FROM (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS j FROM d, (SELECT DISTINCT n FROM i) WHERE len(w) >= n)
+), shared AS (
+  SELECT r, k, count(*) AS c FROM doc_shingles JOIN item_shingles USING (n, s) GROUP BY r, k
+)
+SELECT doc_id, item_id, c / n_shingles AS containment, CAST(n_shingles AS BIGINT) AS n_shingles
+FROM shared JOIN sizes USING (k) JOIN d USING (r) JOIN i USING (k) WHERE c / n_shingles >= {least}
+"""

@@ -111,5 +111,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_top_k": topk.oracle_sql(),
     "op4_line_dedup": linededup.oracle_sql(),
+    "op8_decontamination": contamination.oracle_sql(),
     "op10_secret_ownership": secrets.oracle_sql(),
 }

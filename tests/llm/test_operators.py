@@ -433,11 +433,12 @@ def _brute_leaks(rows, items):
     return sorted(out, key=repr)
 
 
-def test_decontamination(spark, data, odd):
+def test_decontamination(spark, data, odd, same_rows):
+    same_rows(queries.op8_decontamination(spark, data), contamination.oracle_sql())
     docs, items = table(spark, data, "documents"), table(spark, data, "benchmark")
     wanted = _brute_leaks([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
     for most in (20_000, 7):
-        got = contamination.find_leaks(docs, items, most_items=most).collect()
+        got = contamination.find_leaks(docs, items, most_items=most, most_bytes=10_000 * most).collect()
         assert sorted(((r.doc_id, r.item_id, round(r.containment, 6)) for r in got), key=repr) == wanted and wanted
     dirty = {i for i, _, _ in wanted}
     clean = contamination.without_leaks(docs, items)
@@ -464,6 +465,32 @@ def test_leaks_of_all_sizes_inside_long_documents():
     assert [f[0] for f in index.matches(" ".join([*[word() for _ in range(9000)], *changed]))] == [80]
 
 
+def test_recall_of_items_in_long_documents():
+    """Items of every size in documents of up to 50,000 words: whole, in other case and marks, with broken shingles, or in pieces."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghijklm") for _ in range(5)) for _ in range(3000)]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [(i, " ".join(some(rng.choice((6, 8, 12, 20, 40, 90, 250))))) for i in range(120)]
+    index, found, planted = contamination.Index(items), 0, 0
+    for i, text in items:
+        w, noise = text.split(), some(rng.choice((300, 5000, 50_000)))
+        at = rng.randrange(len(noise))
+        kinds = [", ".join(w).upper()]
+        if len(w) >= 40:
+            broken = [*w]
+            broken[len(w) // 2] = "other"
+            pieces, apart = [], 3 if len(w) < 90 else 60
+            for k in range(0, len(w), 40):  # shingles across the pieces are lost
+                pieces += w[k : k + 40] + some(apart)
+            kinds += [" ".join(broken), " ".join(pieces)]
+        for kind in kinds:
+            doc = [*noise[:at], *kind.split(), *noise[at:]]
+            held = contamination.Item(i, w).containment(contamination.words_of(" ".join(doc))) >= 0.8
+            planted += held
+            found += held and i in [m[0] for m in index.matches(" ".join(doc))]
+    assert planted > 200 and found == planted
+
+
 # --- 9 near-duplicates
 
 
