@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_scratch: list[list[str]] = []  # tables of the open scratch blocks
 
 
 def local_session(cpus: int | None = None, memory: str = "8g", **conf: str) -> SparkSession:
@@ -48,9 +52,41 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from those files."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and continue from its files, which cuts the lineage.
+
+    A table is computed once (a checkpoint twice) and brings its true size to the planner, where a checkpoint brings
+    estimates that multiply over rounds of joins. Tables stay until ``clean`` or the end of a ``scratch`` block.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/sylvameter-{spark.sparkContext.applicationId}/{uuid.uuid4()}.parquet"
+    for held in _scratch:
+        held.append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any file system that Spark can write."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialise`` writes within the block are deleted at its end; results must be written by then."""
+    paths: list[str] = []
+    _scratch.append(paths)
+    try:
+        yield
+    finally:
+        _scratch.pop()  # blocks nest
+        for path in paths:
+            remove(spark, path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that ``materialise`` wrote in this application; DataFrames that read them are void."""
+    remove(spark, f"{shared_folder(spark)}/sylvameter-{spark.sparkContext.applicationId}")
 
 
 def spread(df: DataFrame) -> DataFrame:
