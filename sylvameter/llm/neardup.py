@@ -1,8 +1,12 @@
-"""Near-duplicates by Jaccard similarity: MinHash bands find pairs, the shingles themselves decide.
+"""One text of each group of near-duplicates: SimHash links first, then MinHash bands, and the shingles decide.
 
 A text is its set of shingles of five lower-cased words (the whole text where it has fewer), each a 64-bit hash; texts
-of one set are one node. Nodes that agree on a band of minima share a bucket: a pair of similarity 0.8 misses all of 20
-bands of 5 with a chance of 4 in 10,000, one of 0.9 practically never. Every link is verified on the shingles of both texts.
+of one set are one node. Every link is verified by the Jaccard similarity of both sets.
+
+The SimHash operator goes first: fingerprints of the shingles that differ in at most three bits, found in its BK-trees.
+These links join what differs in little, groups of any size among them. They cannot reach a similarity of 0.8, where
+fingerprints of 64 bits differ in about ten: bands of minima find the rest. Nodes that agree on a band share a bucket;
+a pair of similarity 0.8 misses all of 20 bands of 5 with a chance of 4 in 10,000, one of 0.9 practically never.
 
 Buckets are never paired off whole. First each node meets the least of its bucket, which is linear and joins a group
 of any size. Only where a bucket still has several components are pairs across them looked for, by the shares of equal
@@ -11,7 +15,6 @@ minima; a large bucket then has its questions dealt to several tasks.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylvameter.llm.common import own_exchange, slices, unused
+from sylvameter.llm import simhash
 from sylvameter.llm.components import connected_components
-from sylvameter.session import materialise, shared_folder
+from sylvameter.session import materialise
 
 BANDS, ROWS = 20, 5
 #: Equal minima of 100 from which a pair is verified: 3.75 standard errors below a similarity of 0.8.
@@ -66,28 +70,27 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _marked(docs: DataFrame, words: int, names: dict[str, str]) -> DataFrame:
-    """``docs`` with a key for each row, its node, buckets and sketch (a byte of each minimum), written to files."""
+    """``docs`` with a key for each row, its node, fingerprint, buckets and sketch (a byte of each minimum), written to files."""
+    kinds = (("node", "long"), ("print", "long"), ("buckets", "array<long>"), ("sketch", "binary"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            nodes, buckets, sketches = [], [], []
+            nodes, prints, buckets, sketches = [], [], [], []
             for x in batch.column(batch.schema.get_field_index("text")):
                 found = shingle_set(x.as_py(), words)
                 least = minima(found)
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes()))
+                prints.append(simhash.majority(found) if len(found) else 0)
                 bands = least.reshape(BANDS, ROWS)
                 buckets.append([xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(bands)] if len(found) else [])
                 sketches.append(least.astype(np.uint8).tobytes())
             signed = lambda v: np.array(v, np.uint64).view(np.int64)
-            new = [pa.array(signed(nodes)), pa.array([signed(b) for b in buckets], pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *(names[k] for k in ("node", "buckets", "sketch"))])
+            new = [pa.array(signed(nodes)), pa.array(signed(prints)), pa.array([signed(b) for b in buckets], pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *(names[k] for k, _ in kinds)])
 
     keyed = docs.withColumn(names["key"], F.monotonically_increasing_id())
-    kinds = (("node", "long"), ("buckets", "array<long>"), ("sketch", "binary"))
     schema = keyed.select("*", *[F.lit(None).cast(kind).alias(names[k]) for k, kind in kinds]).schema
-    path = f"{shared_folder(docs.sparkSession)}/neardup-{uuid.uuid4()}.parquet"
-    keyed.mapInArrow(run, schema).write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    return materialise(keyed.mapInArrow(run, schema))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
@@ -105,6 +108,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> D
     return both.mapInArrow(run, "a long, b long")
 
 
+def _print_links(nodes: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of nodes with one fingerprint, each with the least of them, and of fingerprints that SimHash links."""
+    prints = materialise(nodes.groupBy("print").agg(F.min("node").alias("least")))
+    same = nodes.join(own_exchange(prints, "print"), "print").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    near = simhash.links(prints.select(F.col("print").alias("fp")), prints.count(), radius).distinct()
+    for side in ("a", "b"):
+        near = near.join(own_exchange(prints, "print").toDF(side, f"node_{side}"), side)
+    return same.unionByName(near.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")))
+
+
 def _across(rows: DataFrame, large: int) -> DataFrame:
     """Pairs (a, b) of near sketches and different components in one bucket, of rows (bucket, n, node, component, sketch)."""
     parts = F.ceil(F.col("n") / large).cast("int")
@@ -135,37 +148,48 @@ def _across(rows: DataFrame, large: int) -> DataFrame:
     return dealt.repartition(tasks, "key").mapInArrow(run, "a long, b long")
 
 
-def representatives(docs: DataFrame, words: int = 5, least: float = 0.8, large: int = 1024) -> DataFrame:
+def representatives(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 3, large: int = 1024) -> DataFrame:
     """The rows of ``docs``, all columns, that stay when one row of each group of near-duplicates stays.
 
     Rows link where the Jaccard similarity of their shingles is ``least`` or more, and groups are what links reach. The
     row with the smallest doc_id stays, a null id coming last; of rows with equal ids one stays. Every row counts by
     itself, so a null or repeated doc_id loses nothing. Null and blank texts are one group. No rows give no rows.
     """
-    names = {k: unused(f"{k}_", docs.columns) for k in ("key", "node", "buckets", "sketch")}
+    names = {k: unused(f"{k}_", docs.columns) for k in ("key", "node", "print", "buckets", "sketch")}
     written = _marked(docs, words, names)
     rows = written.select(F.col("doc_id"), *[F.col(v).alias(k) for k, v in names.items()])
     # of the rows of a node any one has its shingles: the first key's text speaks for it
-    nodes = rows.groupBy("node").agg(F.min("key").alias("key"))
+    nodes = materialise(rows.groupBy("node").agg(F.min("key").alias("key"), F.min("print").alias("print")))
+    with_text = written.select(F.col(names["key"]).alias("key"), "text")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "key"), "node")
+        texts = materialise(with_text.join(own_exchange(wanted, "key"), "key").select("node", "text"))
+        return materialise(_verified(pairs, texts, words, least))
+
+    def component(of: DataFrame) -> DataFrame:
+        return of.join(own_exchange(roots, "node"), "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
+
+    links = verified(materialise(_print_links(nodes, radius)))
+    roots = materialise(connected_components(links))
     spoken = rows.join(own_exchange(nodes.select("key"), "key"), "key", "left_semi").select("node", "buckets", "sketch")
-    spread = spoken.select("node", F.explode("buckets").alias("bucket"))
-    buckets = spread.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    spread = component(spoken.select("node", F.explode("buckets").alias("bucket")))
+    buckets = spread.groupBy("bucket").agg(F.min(F.struct("component", "node")).alias("pivot"), F.count("*").alias("n")).where("n > 1")
     members = materialise(spread.join(own_exchange(buckets, "bucket"), "bucket"))
-    pairs = materialise(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node")
-    with_text = written.select(F.col(names["key"]).alias("key"), "text")
-    texts = materialise(with_text.join(own_exchange(wanted, "key"), "key").select("node", "text"))
-    links = materialise(_verified(pairs, texts, words, least))
+    apart = members.where(F.col("component") != F.col("pivot.component"))
+    pairs = apart.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
+    pairs = materialise(pairs)
+    links = links.unionByName(verified(pairs))
     roots = materialise(connected_components(links))
-    known = members.join(own_exchange(roots, "node"), "node", "left").select("bucket", "n", "node", F.coalesce("root", "node").alias("component"))
+    known = component(members.select("bucket", "n", "node"))
     mixed = known.where("n > 2").groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     left = known.join(own_exchange(mixed.select("bucket"), "bucket"), "bucket", "left_semi")
     left = left.join(own_exchange(spoken.select("node", "sketch"), "node"), "node")
-    more = _across(left, large).distinct().join(pairs, ["a", "b"], "left_anti")
-    late = materialise(_verified(more, texts, words, least))
+    late = verified(materialise(_across(left, large).distinct().join(pairs, ["a", "b"], "left_anti")))
     if not late.isEmpty():
         roots = connected_components(links.unionByName(late))
-    grouped = rows.join(own_exchange(roots, "node"), "node", "left").select(F.coalesce("root", "node").alias("component"), "doc_id", "key")
+    grouped = component(rows.select("node", "doc_id", "key"))
     best = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best"))
     stays = best.select(F.col("best.key").alias(names["key"]))
-    return written.join(own_exchange(stays, names["key"]), names["key"], "left_semi").select(*docs.columns)
+    kept = written.join(own_exchange(stays, names["key"]), names["key"], "left_semi")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

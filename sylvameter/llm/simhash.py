@@ -32,6 +32,17 @@ _ALL = (1 << BITS) - 1
 _OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of some 64-bit hashes have; zero for none."""
+    n = len(hashes)
+    parts = hashes.view(np.uint8).reshape(n, 8)
+    if n < 400:
+        counts = np.unpackbits(parts, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    else:
+        counts = np.concatenate([np.bincount(parts[:, j], minlength=256) @ _OF_BYTE for j in range(8)])
+    return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
+
+
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     """The SimHash of a UTF-8 text: A-Z lowered, words between ASCII white space, shingles with repeats, XXH64."""
     w = text.lower().split()
@@ -39,12 +50,7 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
         return 0
     shingles = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else iter([b" ".join(w)])
     n = max(1, len(w) - words + 1)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, n).view(np.uint8).reshape(n, 8)
-    if n < 400:
-        counts = np.unpackbits(hashes, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    else:
-        counts = np.concatenate([np.bincount(hashes[:, j], minlength=256) @ _OF_BYTE for j in range(8)])
-    return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, n))
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
