@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sylvameter.llm import contamination, langid, linededup, neardup, packing, tokens
 from sylvameter.llm.common import held_out
-from sylvameter.session import shared_folder, ship
+from sylvameter.session import remove, scratch, shared_folder, ship
 from sylvameter.sources.tables import table
 
 #: Least posterior of the predicted language for a document to stay, and least fit to that language: the mean log
@@ -70,11 +70,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``. What a stage wrote goes once the next one has read it."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{i}-{name}.parquet"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
