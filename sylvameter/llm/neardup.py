@@ -9,8 +9,10 @@ fingerprints of 64 bits differ in about ten: bands of minima find the rest. Node
 a pair of similarity 0.8 misses all of 20 bands of 5 with a chance of 4 in 10,000, one of 0.9 practically never.
 
 Buckets are never paired off whole. First each node meets the least of its bucket, which is linear and joins a group
-of any size. Only where a bucket still has several components are pairs across them looked for, by the shares of equal
-minima; a large bucket then has its questions dealt to several tasks.
+of any size. A bucket that still has several components is searched in its task with the shingles at hand: its centre
+against all others, then each node against the other components, nearest sketches first, until one of the component is
+similar. What leaves the task is at most one link for each node. A pair is looked at in its first common bucket alone,
+and a large bucket has its questions dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from sylvameter.llm.components import connected_components
 from sylvameter.session import materialise
 
 BANDS, ROWS = 20, 5
-#: Equal minima of 100 from which a pair is verified: 3.75 standard errors below a similarity of 0.8.
+#: Equal minima of 100 from which a pair across components is verified: 3.75 standard errors below a similarity of 0.8.
 NEAR = 65
 _RNG = np.random.default_rng(42)
 _ODD = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
@@ -118,34 +120,85 @@ def _print_links(nodes: DataFrame, radius: int) -> DataFrame:
     return same.unionByName(near.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")))
 
 
-def _across(rows: DataFrame, large: int) -> DataFrame:
-    """Pairs (a, b) of near sketches and different components in one bucket, of rows (bucket, n, node, component, sketch)."""
+def _shingles(texts: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of rows (node, text); the sorted hashes as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            found = [shingle_set(t, words).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles binary")
+
+
+def links_across(
+    node: np.ndarray, component: np.ndarray, sketch: np.ndarray, bands: np.ndarray, band: int, shingles: list[np.ndarray], asks: np.ndarray, least: float
+) -> list[tuple[int, int]]:
+    """Links (a, b) between the components of one bucket, at most one for each node.
+
+    ``bands`` has the buckets of each node: pairs that share one before ``band`` are left to that one.
+    """
+    _, group = np.unique(component, return_inverse=True)
+    links: list[tuple[int, int]] = []
+
+    def agreement(i: int) -> np.ndarray:
+        equal = (sketch == sketch[i]).sum(axis=1)
+        equal[(bands[:, :band] == bands[i, :band]).any(axis=1)] = -1
+        return equal
+
+    def meet(i: int, j: int) -> None:
+        if similarity(shingles[i], shingles[j]) >= least:
+            links.append((int(node[i]), int(node[j])))
+            group[group == group[j]] = group[i]
+
+    # the centre is the node that agrees most with the commonest minimum of each place
+    common = np.array([np.bincount(c).argmax() for c in sketch.T], np.uint8)
+    centre = int((sketch == common).sum(axis=1).argmax())
+    for j in np.flatnonzero(agreement(centre) >= NEAR):
+        if group[j] != group[centre]:
+            meet(centre, int(j))
+    for i in np.flatnonzero(asks):
+        if (group == group[0]).all():
+            break
+        equal = agreement(int(i))
+        for j in np.argsort(-equal, kind="stable"):
+            if equal[j] < NEAR:
+                break
+            if group[j] != group[i]:
+                meet(int(i), int(j))
+    return links
+
+
+def _across(rows: DataFrame, least: float, large: int) -> DataFrame:
+    """Links (a, b) across components of one bucket, of rows (bucket, n, node, component, sketch, buckets, shingles)."""
     parts = F.ceil(F.col("n") / large).cast("int")
     dealt = rows.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     asks = F.pmod(F.xxhash64("node"), F.col("parts")) == F.col("part")
-    dealt = dealt.select(F.xxhash64("bucket", "part").alias("key"), "node", "component", "sketch", asks.alias("asks"))
+    kept = ("node", "component", "sketch", "buckets", "shingles")
+    dealt = dealt.select(F.xxhash64("bucket", "part").alias("key"), "bucket", *kept, asks.alias("asks"))
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    def search(members: list[tuple]) -> pa.RecordBatch:
+        _, bucket, node, component, sketch, buckets, shingles, asking = zip(*members, strict=True)
+        matrix = np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, BANDS * ROWS)
+        found = links_across(
+            np.array(node), np.array(component), matrix, np.array(buckets), buckets[0].index(bucket[0]),
+            [np.frombuffer(x, np.uint64) for x in shingles], np.array(asking), least,
+        )
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
-            return
-        table = table.sort_by("key")
-        key, node, component, asking = (table[c].to_numpy() for c in ("key", "node", "component", "asks"))
-        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-        edges = [0, *(np.flatnonzero(np.diff(key)) + 1), len(key)]
-        for start, stop in zip(edges, edges[1:], strict=False):
-            found: list[np.ndarray] = []
-            for i in np.flatnonzero(asking[start:stop]) + start:
-                equal = (sketch[start:stop] == sketch[i]).sum(axis=1)
-                hit = (equal >= NEAR) & (component[start:stop] != component[i]) & (node[start:stop] > node[i])
-                j = np.flatnonzero(hit) + start
-                found.append(np.stack([np.full(len(j), node[i]), node[j]]))
-            if found:
-                a, b = np.concatenate(found, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    return dealt.repartition(tasks, "key").mapInArrow(run, "a long, b long")
+        held: list[tuple] = []
+        for batch in batches:  # sorted by key: one bucket, or one part of it, is held at a time
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][0] != row[0]:
+                    yield search(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield search(held)
+
+    return dealt.repartition(tasks, "key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
 
 
 def representatives(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 3, large: int = 1024) -> DataFrame:
@@ -162,10 +215,13 @@ def representatives(docs: DataFrame, words: int = 5, least: float = 0.8, radius:
     nodes = materialise(rows.groupBy("node").agg(F.min("key").alias("key"), F.min("print").alias("print")))
     with_text = written.select(F.col(names["key"]).alias("key"), "text")
 
+    def texts(wanted: DataFrame) -> DataFrame:
+        keys = wanted.distinct().join(nodes.select("node", "key"), "node")
+        return with_text.join(own_exchange(keys, "key"), "key").select("node", "text")
+
     def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "key"), "node")
-        texts = materialise(with_text.join(own_exchange(wanted, "key"), "key").select("node", "text"))
-        return materialise(_verified(pairs, texts, words, least))
+        both = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+        return materialise(_verified(pairs, materialise(texts(both)), words, least))
 
     def component(of: DataFrame) -> DataFrame:
         return of.join(own_exchange(roots, "node"), "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
@@ -184,8 +240,9 @@ def representatives(docs: DataFrame, words: int = 5, least: float = 0.8, radius:
     known = component(members.select("bucket", "n", "node"))
     mixed = known.where("n > 2").groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     left = known.join(own_exchange(mixed.select("bucket"), "bucket"), "bucket", "left_semi")
-    left = left.join(own_exchange(spoken.select("node", "sketch"), "node"), "node")
-    late = verified(materialise(_across(left, large).distinct().join(pairs, ["a", "b"], "left_anti")))
+    left = materialise(left)
+    known_by = spoken.select("node", "sketch", "buckets").join(own_exchange(_shingles(texts(left.select("node")), words), "node"), "node")
+    late = materialise(_across(left.join(own_exchange(known_by, "node"), "node"), least, large))
     if not late.isEmpty():
         roots = connected_components(links.unionByName(late))
     grouped = component(rows.select("node", "doc_id", "key"))
