@@ -9,15 +9,16 @@ fingerprints of 64 bits differ in about ten: bands of minima find the rest. Node
 a pair of similarity 0.8 misses all of 20 bands of 5 with a chance of 4 in 10,000, one of 0.9 practically never.
 
 Buckets are never paired off whole. First each node meets the least of its bucket, which is linear and joins a group
-of any size. A bucket that still has several components is searched in its task with the shingles at hand: its centre
-against all others, then each node against the other components, nearest sketches first, until one of the component is
-similar. What leaves the task is at most one link for each node. A pair is looked at in its first common bucket alone,
-and a large bucket has its questions dealt to several tasks.
+of any size. In a bucket that still has several components, sketches tell which nodes are near to another component. These are
+searched in the bucket's task with their shingles at hand: the centre against all others, then each node against the
+other components, nearest sketches first, until one of the component is similar. What leaves the task is at most one
+link for each node. A pair is looked at in its first common bucket alone, and a large bucket has its questions dealt to
+several tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -131,6 +132,24 @@ def _shingles(texts: DataFrame, words: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, shingles binary")
 
 
+def _agreement(i: int, sketch: np.ndarray, bands: np.ndarray, band: int) -> np.ndarray:
+    """Equal minima of node ``i`` and each node of a bucket; -1 for pairs that an earlier ``band`` has in a bucket."""
+    equal = (sketch == sketch[i]).sum(axis=1)
+    equal[(bands[:, :band] == bands[i, :band]).any(axis=1)] = -1
+    return equal
+
+
+def in_question(component: np.ndarray, sketch: np.ndarray, bands: np.ndarray, band: int, asks: np.ndarray) -> np.ndarray:
+    """The places of one bucket that are near to a node of another component, and those of these nodes."""
+    found = np.zeros(len(component), bool)
+    for i in np.flatnonzero(asks):
+        near = (component != component[i]) & (_agreement(i, sketch, bands, band) >= NEAR)
+        if near.any():
+            found[i] = True
+            found |= near
+    return np.flatnonzero(found)
+
+
 def links_across(
     node: np.ndarray, component: np.ndarray, sketch: np.ndarray, bands: np.ndarray, band: int, shingles: list[np.ndarray], asks: np.ndarray, least: float
 ) -> list[tuple[int, int]]:
@@ -141,11 +160,6 @@ def links_across(
     _, group = np.unique(component, return_inverse=True)
     links: list[tuple[int, int]] = []
 
-    def agreement(i: int) -> np.ndarray:
-        equal = (sketch == sketch[i]).sum(axis=1)
-        equal[(bands[:, :band] == bands[i, :band]).any(axis=1)] = -1
-        return equal
-
     def meet(i: int, j: int) -> None:
         if similarity(shingles[i], shingles[j]) >= least:
             links.append((int(node[i]), int(node[j])))
@@ -154,13 +168,13 @@ def links_across(
     # the centre is the node that agrees most with the commonest minimum of each place
     common = np.array([np.bincount(c).argmax() for c in sketch.T], np.uint8)
     centre = int((sketch == common).sum(axis=1).argmax())
-    for j in np.flatnonzero(agreement(centre) >= NEAR):
+    for j in np.flatnonzero(_agreement(centre, sketch, bands, band) >= NEAR):
         if group[j] != group[centre]:
             meet(centre, int(j))
     for i in np.flatnonzero(asks):
         if (group == group[0]).all():
             break
-        equal = agreement(int(i))
+        equal = _agreement(i, sketch, bands, band)
         for j in np.argsort(-equal, kind="stable"):
             if equal[j] < NEAR:
                 break
@@ -169,36 +183,61 @@ def links_across(
     return links
 
 
-def _across(rows: DataFrame, least: float, large: int) -> DataFrame:
-    """Links (a, b) across components of one bucket, of rows (bucket, n, node, component, sketch, buckets, shingles)."""
+def _by_bucket(rows: DataFrame, large: int, search: Callable[[list[tuple], np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """What ``search`` makes of the rows of each bucket, and of which of them ask; a large bucket goes to several tasks.
+
+    ``rows`` has bucket, n (its rows, or more), node and other columns. One bucket, or part of one, is held at a time.
+    """
     parts = F.ceil(F.col("n") / large).cast("int")
     dealt = rows.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     asks = F.pmod(F.xxhash64("node"), F.col("parts")) == F.col("part")
-    kept = ("node", "component", "sketch", "buckets", "shingles")
-    dealt = dealt.select(F.xxhash64("bucket", "part").alias("key"), "bucket", *kept, asks.alias("asks"))
+    others = [c for c in rows.columns if c not in ("bucket", "n")]
+    dealt = dealt.select(F.xxhash64("bucket", "part").alias("key"), asks.alias("asks"), "bucket", *others)
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def search(members: list[tuple]) -> pa.RecordBatch:
-        _, bucket, node, component, sketch, buckets, shingles, asking = zip(*members, strict=True)
-        matrix = np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, BANDS * ROWS)
-        found = links_across(
-            np.array(node), np.array(component), matrix, np.array(buckets), buckets[0].index(bucket[0]),
-            [np.frombuffer(x, np.uint64) for x in shingles], np.array(asking), least,
-        )
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for batch in batches:  # sorted by key: one bucket, or one part of it, is held at a time
+        for batch in slices(batches, "shingles") if "shingles" in others else batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and held[0][0] != row[0]:
-                    yield search(held)
+                    yield search([r[2:] for r in held], np.array([r[1] for r in held]))
                     held = []
                 held.append(row)
         if held:
-            yield search(held)
+            yield search([r[2:] for r in held], np.array([r[1] for r in held]))
+
+    return dealt.repartition(tasks, "key").sortWithinPartitions("key", "node").mapInArrow(run, schema)
+
+
+def _matrices(members: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Of rows (bucket, node, component, sketch, buckets, ...): nodes, components, sketches, buckets, and the band."""
+    bucket, node, component, sketch, buckets = (x for x, _ in zip(zip(*members, strict=True), range(5), strict=False))
+    matrix = np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, BANDS * ROWS)
+    return np.array(node), np.array(component), matrix, np.array(buckets), buckets[0].index(bucket[0])
+
+
+def _across(rows: DataFrame, shingles_of: Callable[[DataFrame], DataFrame], least: float, large: int) -> DataFrame:
+    """Links (a, b) across components of one bucket, of rows (bucket, n, node, component, sketch, buckets).
+
+    Sketches tell which nodes are in question; only their shingles (``shingles_of`` nodes) go to the buckets.
+    """
+
+    def questions(members: list[tuple], asks: np.ndarray) -> pa.RecordBatch:
+        node, component, sketch, bands, band = _matrices(members)
+        found = in_question(component, sketch, bands, band, asks)
+        both = [pa.array([members[0][0]] * len(found), pa.int64()), pa.array(node[found], pa.int64())]
+        return pa.RecordBatch.from_arrays(both, ["bucket", "node"])
+
+    def links(members: list[tuple], asks: np.ndarray) -> pa.RecordBatch:
+        node, component, sketch, bands, band = _matrices(members)
+        found = links_across(node, component, sketch, bands, band, [np.frombuffer(m[5], np.uint64) for m in members], asks, least)
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return dealt.repartition(tasks, "key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
+    asked = materialise(_by_bucket(rows, large, questions, "bucket long, node long").distinct())
+    n = asked.groupBy("bucket").agg(F.count("*").alias("n"))
+    few = rows.drop("n").join(own_exchange(asked, "bucket", "node"), ["bucket", "node"], "left_semi").join(own_exchange(n, "bucket"), "bucket")
+    few = few.join(own_exchange(shingles_of(asked.select("node")), "node"), "node")
+    return _by_bucket(few.select("bucket", "n", "node", "component", "sketch", "buckets", "shingles"), large, links, "a long, b long")
 
 
 def representatives(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 3, large: int = 1024) -> DataFrame:
@@ -240,9 +279,9 @@ def representatives(docs: DataFrame, words: int = 5, least: float = 0.8, radius:
     known = component(members.select("bucket", "n", "node"))
     mixed = known.where("n > 2").groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     left = known.join(own_exchange(mixed.select("bucket"), "bucket"), "bucket", "left_semi")
-    left = materialise(left)
-    known_by = spoken.select("node", "sketch", "buckets").join(own_exchange(_shingles(texts(left.select("node")), words), "node"), "node")
-    late = materialise(_across(left.join(own_exchange(known_by, "node"), "node"), least, large))
+    left = left.join(own_exchange(spoken.select("node", "sketch", "buckets"), "node"), "node")
+    left = materialise(left.select("bucket", "n", "node", "component", "sketch", "buckets"))
+    late = materialise(_across(left, lambda wanted: _shingles(texts(wanted), words), least, large))
     if not late.isEmpty():
         roots = connected_components(links.unionByName(late))
     grouped = component(rows.select("node", "doc_id", "key"))
