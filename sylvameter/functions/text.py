@@ -7,23 +7,15 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Terms that mean the same, by the term they become.
+#: What a term counts as.
 SYNONYMS: dict[str, str] = {
-    term: name
-    for name, terms in {
-        "mangrove": "rhizophora mangle avicennia",
-        "tree": "acacia trees forest woodland sapling saplings seedling",
-        "canopy": "vegetation foliage greenery",
-        "degradation": "erosion deforestation",
-        "dryland": "drought arid",
-        "water": "creek river estuary sea ocean",
-        "tidal": "tidalflat",
-        "aerial": "drone satellite",
-        "image": "photo photograph picture video footage",
-        "restoration": "replanting reforestation rewilding planting",
-    }.items()
-    for term in terms.split()
-}
+    "rhizophora": "mangrove", "mangle": "mangrove", "avicennia": "mangrove", "acacia": "tree", "trees": "tree", "forest": "tree", "woodland": "tree",
+    "sapling": "tree", "saplings": "tree", "seedling": "tree", "vegetation": "canopy", "foliage": "canopy", "greenery": "canopy",
+    "erosion": "degradation", "deforestation": "degradation", "drought": "dryland", "arid": "dryland", "creek": "water", "river": "water",
+    "estuary": "water", "sea": "water", "ocean": "water", "tidalflat": "tidal", "drone": "aerial", "satellite": "aerial", "photo": "image",
+    "photograph": "image", "picture": "image", "video": "image", "footage": "image", "replanting": "restoration", "reforestation": "restoration",
+    "rewilding": "restoration", "planting": "restoration",
+}
 #: Words that are no terms.
 STOP_WORDS: tuple[str, ...] = tuple(
     "a an the of in on at to for with and or is are was were be been by from as that this it its me my we our you your show find give "
