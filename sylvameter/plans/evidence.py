@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvameter.functions import biomass, solar
+from sylvameter.functions import biomass, diagnostics, geometry, imaging, solar
 from sylvameter.functions import text as text_functions
-from sylvameter.operators import batch, dedup, grounding, intervals, links, measure, tagging
+from sylvameter.operators import batch, dedup, grounding, intervals, links, matching, measure, tagging
 from sylvameter.session import spread
 from sylvameter.sources import corpus
 from sylvameter.sources.tables import table
@@ -45,8 +47,10 @@ def shadow_verdict(spark: SparkSession, d: str) -> DataFrame:
 
 
 def verdict_tallies(spark: SparkSession, d: str) -> DataFrame:
-    judged = _sun(spark, d)
-    return judged.groupBy("verdict").agg(F.count("*").alias("n"), F.round(F.avg("angular_error"), 4).alias("mean_error"))
+    """Every third capture counts as one of sound provenance."""
+    judged = _sun(spark, d).withColumn("decision", solar.triage(F.col("verdict"))["decision"])
+    sound = F.when(F.col("event_id") % 3 == 0, "C2PA_VERIFIED").otherwise("C2PA_MISSING")
+    return batch.tallies(judged.withColumn("c2pa_provenance", sound))
 
 
 def time_of_day(spark: SparkSession, d: str) -> DataFrame:
@@ -126,9 +130,16 @@ def sweep_cues(spark: SparkSession, d: str) -> DataFrame:
 
 
 def caption_check(spark: SparkSession, d: str) -> DataFrame:
+    """Sound documents, and by the length of the document some with a fault put in."""
     documents = intervals.caption_documents(intervals.cues(_segments(spark, d)))
-    problems = F.size(intervals.caption_problems(F.col("vtt")))
-    return documents.select("video_id", problems.cast("long").alias("problems"), F.length("vtt").cast("long").alias("n_chars"))
+    kind = F.length("vtt") % 5
+    faulty = (
+        F.when(kind == 1, F.concat(F.lit("x"), "vtt")).when(kind == 2, F.lit("WEBVTT\n"))
+        .when(kind == 3, F.concat("vtt", F.lit("\n9\n00:00:05.000 --> 00:00:04.000\nx\n"))).when(kind == 4, F.concat("vtt", F.lit("\n9\nnever --> 99:00:00.000\nx\n")))
+        .otherwise(F.col("vtt"))
+    )
+    problems = intervals.caption_problems(faulty)
+    return documents.select("video_id", F.array_join(F.array_sort(problems), " ").alias("problems"), F.length("vtt").cast("long").alias("n_chars"))
 
 
 def hotspots(spark: SparkSession, d: str) -> DataFrame:
@@ -183,21 +194,26 @@ def number_extract(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grounding_check(spark: SparkSession, d: str) -> DataFrame:
+    """Claims about the length of a text: right, wrong by one, or with a figure that is no fact."""
     claimed = F.col("n_chars") + F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)
-    docs = table(spark, d, "documents").select("doc_id", "n_chars", F.concat(F.lit("VM0047: the text has "), claimed.cast("string"), F.lit(" characters, 5 ha.")).alias("claim"))
+    more = F.when(F.col("doc_id") % 4 == 0, F.lit(", and 0.5 ha.")).otherwise(F.lit("."))
+    docs = table(spark, d, "documents").select("doc_id", "n_chars", F.concat(F.lit("VM0047: the text has "), claimed.cast("string"), F.lit(" characters"), more).alias("claim"))
     judged = grounding.check(docs, "claim", ["n_chars"])
     return judged.select("doc_id", F.array_join("ungrounded", " ").alias("ungrounded"), "grounded")
 
 
 def project_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Priorities as projects; a fact is missing for some of them, and the cap on sentences is met."""
     status = F.col("o_orderstatus")
     facts = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("project_name")).agg(
         F.count("*").alias("total"), F.count_if(status == "F").alias("verified"), F.count_if(status == "P").alias("quarantined"), F.count_if(status == "O").alias("review"),
     )
-    none = F.lit(None).cast("double")
-    for name in ("canopy_delta_pct", "mean_inlier_ratio", "net_certified_tco2e", "sampling_error_pct"):
-        facts = facts.withColumn(name, none)
-    return grounding.summary(facts.withColumn("area_ha", F.lit(14.5))).select("project_name", "summary")
+    rank = F.substring("project_name", 1, 1).cast("int")
+    facts = facts.withColumns({
+        "canopy_delta_pct": F.when(rank != 2, rank * 1.5 - 4), "mean_inlier_ratio": rank * 0.2, "net_certified_tco2e": F.when(rank != 3, rank * 10.0),
+        "sampling_error_pct": rank + 0.25, "area_ha": F.lit(14.5),
+    })
+    return grounding.summary(facts).select("project_name", "summary")
 
 
 def label_quality(spark: SparkSession, d: str) -> DataFrame:
@@ -210,62 +226,62 @@ def label_quality(spark: SparkSession, d: str) -> DataFrame:
 def ratio_test_knn(spark: SparkSession, d: str) -> DataFrame:
     """The two nearest descriptors of every twentieth one, kept if the first is clearly nearer than the second."""
     scaled = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long"))
-    rows = table(spark, d, "embeddings").select("vec_id", scaled.alias("v"))
-    asks = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("v").alias("qv"))
-    square = F.aggregate(F.zip_with("v", "qv", lambda a, b: (a - b) * (a - b)), F.lit(0).cast("long"), lambda a, x: a + x)
-    pairs = asks.join(rows, F.col("q") != F.col("vec_id")).select("q", "vec_id", square.alias("d"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "vec_id"))
-    two = pairs.withColumn("r", rank).where("r <= 2").groupBy("q").agg(F.min(F.struct("d", "vec_id")).alias("a"), F.max("d").alias("d2"))
-    return two.select("q", F.col("a.vec_id").alias("nearest"), F.col("a.d").alias("d1"), "d2", (F.col("a.d") * 16 < F.col("d2") * 9).alias("kept"))
+    return matching.ratio_test(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), scaled.alias("v")), F.col("id") % 20 == 0)
 
 
 def rate_limit_window(spark: SparkSession, d: str) -> DataFrame:
-    minute = F.date_trunc("hour", F.col("ts").cast("timestamp"))
-    counts = table(spark, d, "events").groupBy("user_id", F.unix_seconds(minute).alias("minute")).agg(F.count("*").alias("n"))
-    return counts.where("n > 1").select("user_id", "minute", "n", (F.col("n") - 1).alias("rejected"))
+    """Callers above one call in a minute, of events that come sixty times as fast as they did."""
+    fast = F.timestamp_seconds(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 60))
+    over = notifications.over_limit(table(spark, d, "events").withColumn("at", fast), "user_id", "at", 1)
+    return over.select(F.col("key").alias("user_id"), F.unix_seconds("minute").alias("minute"), "n", "rejected", "retry_after")
 
 
-def _notifications(spark: SparkSession, d: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("long")
-    return table(spark, d, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.concat_ws(":", F.col("user_id").cast("string"), k.cast("string")).alias("key"))
+def _signed(spark: SparkSession, d: str) -> DataFrame:
+    """Events as signed notifications without an id; some are stale, some signed wrongly or not at all."""
+    kind = F.col("event_type")
+    k = F.get_json_object("props", "$.k")
+    payload = F.struct(
+        F.concat(F.lit("u"), F.col("user_id")).alias("public_id"), k.alias("version"),
+        F.when(kind == "view", "eager").when(kind == "purchase", "upload").when(kind == "signup", "video").otherwise(kind).alias("notification_type"),
+    )
+    at, number = F.col("ts").cast("timestamp"), F.col("event_id")
+    stamp = (F.unix_seconds(at) - F.when(number % 7 == 0, 7201).otherwise(7200)).cast("string")
+    rows = table(spark, d, "events").select(number, F.to_json(payload).cast("binary").alias("body"), stamp.alias("stamp"), at.alias("received_at"))
+    good = notifications.signature(F.col("body"), F.col("stamp"), "secret")
+    given = F.when(number % 11 == 0, F.lit(" ")).when(number % 5 == 0, F.reverse(good)).otherwise(F.upper(good))
+    return rows.withColumn("headers", F.create_map(F.lit("X-Cld-Signature"), given, F.lit("X-CLD-Timestamp"), F.col("stamp")))
 
 
 def notification_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """Batch form: only accepted notifications are remembered, and clicks are not accepted."""
-    accepted = F.col("event_type") != "click"
-    before = F.count_if(accepted).over(Window.partitionBy("key").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1))
-    status = F.when(~accepted, "IGNORED").when(before > 0, "DUPLICATE").otherwise("ACCEPTED")
-    return _notifications(spark, d).select(status.alias("status")).groupBy("status").agg(F.count("*").alias("n"))
+    """Status of signed notifications that are known by public id, version and kind."""
+    done = notifications.process(_signed(spark, d), "secret")
+    return done.groupBy("status", notifications.http_status(F.col("status")).alias("http")).agg(F.count("*").alias("n"))
 
 
 def freshness(spark: SparkSession, d: str) -> DataFrame:
-    rows = _notifications(spark, d)
-    now = F.to_timestamp(F.lit("2024-01-15 12:00:00"))
-    age = F.abs(F.unix_micros(now) - F.unix_micros("ts"))
-    return rows.groupBy(F.when(age > 7_200_000_000, "STALE").otherwise("FRESH").alias("state")).agg(F.count("*").alias("n"))
+    return notifications.verified(_signed(spark, d), "secret").groupBy("ok", "reason").agg(F.count("*").alias("n"))
 
 
 def handler_counts(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.col("event_type")
-    handler = F.when(kind == "view", "eager").when(kind == "purchase", "upload").when(kind == "signup", "video").otherwise("IGNORED")
-    return _notifications(spark, d).groupBy(handler.alias("handler")).agg(F.count("*").alias("n"), F.countDistinct("key").alias("keys"))
+    """Unsigned notifications by kind, those of no handler aside."""
+    rows = notifications.judged(_signed(spark, d), None)
+    return rows.groupBy("kind", "status").agg(F.count("*").alias("n"), F.countDistinct("key").alias("keys"))
 
 
 def signatures(spark: SparkSession, d: str) -> DataFrame:
-    body = F.concat_ws("|", F.col("event_id").cast("string"), "props")
-    return table(spark, d, "events").select("event_id", F.sha2(F.concat(body, F.lit("1700000000"), F.lit("secret")), 256).alias("signature"))
+    body = F.concat_ws("|", F.col("event_id").cast("string"), "props").cast("binary")
+    return table(spark, d, "events").select("event_id", notifications.signature(body, F.lit("1700000000"), "secret", "sha256").alias("signature"))
 
 
 def otsu_threshold(spark: SparkSession, d: str) -> DataFrame:
-    """Otsu's threshold over whole quantities: the cut with the largest variance between classes."""
-    h = table(spark, d, "lineitem").groupBy(F.col("l_quantity").cast("long").alias("v")).agg(F.count("*").alias("n"))
-    up, whole = Window.orderBy("v"), Window.partitionBy()  # the histogram has at most a few hundred bins
-    x = F.col("v").cast("double")
-    h = h.withColumn("w0", F.sum("n").over(up)).withColumn("s0", F.sum(x * F.col("n")).over(up)).withColumn("w", F.sum("n").over(whole)).withColumn("s", F.sum(x * F.col("n")).over(whole))
-    w1 = F.col("w") - F.col("w0")
-    between = F.when(w1 > 0, F.col("w0") * w1 * F.pow(F.col("s0") / F.col("w0") - (F.col("s") - F.col("s0")) / w1, F.lit(2.0)))
-    best = h.select("v", F.round(between / F.col("w") / F.col("w"), 6).alias("variance"))
-    return best.orderBy(F.desc_nulls_last("variance"), "v").limit(1).select(F.col("v").alias("threshold"), F.round("variance", 4).alias("variance"))
+    """Otsu's threshold of each vector, its components taken as the bytes of an index image."""
+    def cut(batches):
+        for pdf in batches:
+            values = [np.clip((np.asarray(v, np.float64) + 1) * 127.5, 0, 255).astype(np.uint8) for v in pdf["embedding"]]
+            yield pd.DataFrame({"vec_id": pdf["vec_id"], "threshold": [imaging.otsu(v) for v in values]})
+
+    rows = table(spark, d, "embeddings").where(F.col("embedding").isNotNull()).select("vec_id", "embedding")
+    return rows.mapInPandas(cut, "vec_id long, threshold long")
 
 
 def median_gains(spark: SparkSession, d: str) -> DataFrame:
@@ -278,20 +294,27 @@ def median_gains(spark: SparkSession, d: str) -> DataFrame:
 
 
 def histogram_match(spark: SparkSession, d: str) -> DataFrame:
-    """Look-up table from the quantities of returned lines to those of others: the least value with as large a share."""
-    def cdf(flag: str):
-        rows = table(spark, d, "lineitem").where(F.col("l_returnflag") == flag).groupBy(F.col("l_quantity").cast("long").alias("v")).agg(F.count("*").alias("n"))
-        return rows.select("v", F.sum("n").over(Window.orderBy("v")).alias("c"), F.sum("n").over(Window.partitionBy()).alias("t"))
+    """By supplier, what the quantities of returned lines become when they are matched to those of others."""
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = (pdf.loc[pdf["l_returnflag"] == f, "v"].to_numpy(np.uint8) for f in ("R", "N"))
+        if not len(a) or not len(b):
+            return pd.DataFrame({"l_suppkey": [], "v": [], "matched": []})
+        to = diagnostics.match_histogram(a.reshape(-1, 1, 1), b.reshape(-1, 1, 1)).ravel()
+        return pd.DataFrame({"l_suppkey": pdf["l_suppkey"].iloc[0], "v": a, "matched": to}).drop_duplicates()
 
-    a, b = cdf("R"), cdf("N").select(F.col("v").alias("to"), F.col("c").alias("c2"), F.col("t").alias("t2"))
-    return a.join(F.broadcast(b), F.col("c2") * F.col("t") >= F.col("c") * F.col("t2")).groupBy("v").agg(F.min("to").alias("matched"))
+    rows = table(spark, d, "lineitem").select("l_suppkey", "l_returnflag", F.col("l_quantity").cast("int").alias("v"))
+    return rows.groupBy("l_suppkey").applyInPandas(match, "l_suppkey long, v long, matched long")
 
 
 def affine_residual(spark: SparkSession, d: str) -> DataFrame:
-    """By supplier: what a straight line leaves of price over quantity, as a root mean square."""
-    y, x = "l_extendedprice", "l_quantity"
-    rows = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.regr_syy(y, x).alias("yy"), F.regr_sxx(y, x).alias("xx"), F.regr_sxy(y, x).alias("xy"), F.count("*").alias("n"))
-    return rows.select("l_suppkey", F.round(F.sqrt((F.col("yy") - F.col("xy") * F.col("xy") / F.col("xx")) / F.col("n")), 3).alias("rms"))
+    """By supplier: what the best affine map of (quantity, 0) to (price, 0) leaves, as a root mean square."""
+    def rest(pdf: pd.DataFrame) -> pd.DataFrame:
+        flat = np.zeros(len(pdf))
+        src, dst = (np.column_stack([pdf[c].to_numpy(np.float64), flat]) for c in ("x", "y"))
+        return pd.DataFrame({"l_suppkey": [pdf["l_suppkey"].iloc[0]], "rms": [geometry.affine_residual(src, dst)]})
+
+    rows = table(spark, d, "lineitem").select("l_suppkey", F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("y"))
+    return rows.groupBy("l_suppkey").applyInPandas(rest, "l_suppkey long, rms double").select("l_suppkey", F.round("rms", 2).alias("rms"))
 
 
 def demo_corpus(spark: SparkSession, d: str) -> DataFrame:
@@ -423,11 +446,16 @@ _FIGURES = r"""masked AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_re
   '\b(?:Article|Section|Clause|Annex|Paragraph|Chapter|Schedule)\s+\d+(?:\.\d+)?', '~', 'g'), '\bE[1-9]\b', '~', 'g'), '\bC2PA\b', '~', 'g'), '\b(?:cm2|m2|ha|kg|ms|fps|ppm)\b', '~', 'g') AS text FROM documents),
 f AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[+-]?\d[\d,]*(?:\.\d+)?\s*%?'), lambda x: least(abs(coalesce(try_cast(regexp_replace(x, '[,%\s]', '', 'g') AS DOUBLE), 0)), 1e6)) AS v FROM masked)"""
 
+_NOTES = """notes AS (SELECT *, CASE WHEN reason <> 'verified' THEN 'REJECTED_UNVERIFIED' WHEN kind IN ('eager', 'upload', 'video') THEN 'ACCEPTED' ELSE 'IGNORED_UNHANDLED' END AS status FROM (
+  SELECT ts, 'u' || user_id || ':' || json_extract_string(props, '$.k') || ':' || kind AS key, kind,
+         CASE WHEN event_id % 11 = 0 THEN 'no_signature' WHEN event_id % 7 = 0 THEN 'stale' WHEN event_id % 5 = 0 THEN 'mismatch' ELSE 'verified' END AS reason
+  FROM (SELECT *, CASE event_type WHEN 'view' THEN 'eager' WHEN 'purchase' THEN 'upload' WHEN 'signup' THEN 'video' ELSE event_type END AS kind FROM events)))"""
+
 ORACLE_SQL: dict[str, str] = {
     "solar_position": f"WITH {_SUN} SELECT event_id, round(az, 3) AS sun_azimuth, round(el, 3) AS sun_elevation FROM sun",
     "shadow_verdict": f"""WITH {_SUN} SELECT event_id, round(shadow, 3) AS expected_shadow, round(err, 3) AS angular_error, verdict,
   CASE WHEN verdict = 'PHYSICS_PASS' THEN 'VERIFIED_PASS' WHEN verdict LIKE 'QUARANTINE%' THEN 'QUARANTINE_FRAUD' ELSE 'REVIEW_AMBIGUOUS' END AS decision FROM sun""",
-    "verdict_tallies": f"WITH {_SUN} SELECT verdict, count(*) AS n, round(avg(err), 4) AS mean_error FROM sun GROUP BY 1",
+    "verdict_tallies": f"WITH {_SUN} SELECT verdict, count(*) AS n, count(*) FILTER (verdict LIKE 'QUARANTINE%' AND event_id % 3 = 0) AS contradictions FROM sun GROUP BY 1",
     "time_of_day": f"""WITH {_SUN}, i AS (SELECT *, {_mod("observed + 180e0", "360e0")} AS implied FROM sun WHERE observed IS NOT NULL AND el > 10)
 SELECT event_id, CASE WHEN implied < 180 THEN 'MORNING' ELSE 'AFTERNOON' END AS implied_half, CASE WHEN az < 180 THEN 'MORNING' ELSE 'AFTERNOON' END AS actual_half,
   (implied < 180) <> (az < 180) AND least({_mod("implied - az", "360e0")}, 360e0 - {_mod("implied - az", "360e0")}) > 12 AS inconsistent FROM i""",
@@ -440,7 +468,8 @@ SELECT event_id, CASE WHEN implied < 180 THEN 'MORNING' ELSE 'AFTERNOON' END AS
     "phash_scoped": _nearest("same"),
     "phash_verdict": f"SELECT CASE WHEN distance IS NULL OR distance > 12 THEN 'UNIQUE' WHEN distance <= 8 THEN 'QUARANTINE_DUPLICATE' ELSE 'REVIEW_SIMILAR' END AS verdict, count(*) AS n FROM ({_nearest('true')}) GROUP BY 1",
     "sweep_cues": f"WITH {_CUES} SELECT video_id, cue::INTEGER AS cue, round(a, 3) AS start, round(b, 3) AS \"end\", lines FROM cues",
-    "caption_check": f"WITH {_CUES} SELECT video_id, 0::BIGINT AS problems, (8 + sum(length(cue::VARCHAR) + 1 + 29 + 1 + length(lines)) + 2 * (count(*) - 1) + 1)::BIGINT AS n_chars FROM cues GROUP BY 1",
+    "caption_check": f"""WITH {_CUES}, t AS (SELECT video_id, (8 + sum(length(cue::VARCHAR) + 1 + 29 + 1 + length(lines)) + 2 * (count(*) - 1) + 1)::BIGINT AS n_chars, max(b) AS last FROM cues GROUP BY 1)
+SELECT video_id, n_chars, CASE n_chars % 5 WHEN 1 THEN 'no_header' WHEN 2 THEN 'no_cues' WHEN 3 THEN CASE WHEN last > 5 THEN 'backward_cue overlap' ELSE 'backward_cue' END WHEN 4 THEN 'bad_time' ELSE '' END AS problems FROM t""",
     "hotspots": f"""WITH {_SEGMENTS}, k AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY a, conf DESC, seq) AS r FROM seg WHERE conf >= 0.6e0 AND b - a >= 0.8e0)
 SELECT video_id, r::INTEGER AS number, 'pin-' || r || '-' || tag AS hotspot_id, upper(tag[1]) || tag[2:] AS title, a AS start, b AS "end", 'Observed: ' || tag AS description FROM k""",
     "active_at": f"WITH {_SEGMENTS} SELECT video_id, seq, tag, a AS start, b AS \"end\" FROM seg WHERE a - 0.5 <= 43200 AND b + 0.5 >= 43200",
@@ -450,36 +479,46 @@ SELECT event_id, lpad((ms // 3600000)::VARCHAR, greatest(2, length((ms // 360000
     "tag_fusion": f"WITH {_FUSED} SELECT tag, evidence, count(*) AS n, round(sum(confidence), 2) AS confidence FROM fused GROUP BY ALL",
     "tag_conflicts": f"WITH {_FUSED} SELECT DISTINCT o.p_partkey, o.tag, round(o.c, 3) AS external_confidence FROM outside o JOIN local l ON l.p_partkey = o.p_partkey AND l.tag = o.tag WHERE o.c < l.confidence * 0.5e0",
     "number_extract": f"WITH {_FIGURES} SELECT doc_id, len(v)::BIGINT AS n, round(coalesce(list_sum(v), 0), 2) AS total FROM f",
-    "grounding_check": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN (n_chars + 1)::VARCHAR || ' 5' ELSE '5' END AS ungrounded, false AS grounded FROM documents",
-    "project_summary": """SELECT o_orderpriority AS project_name, o_orderpriority || ' has ' || count(*) || ' assets, of which ' || count(*) FILTER (o_orderstatus = 'F') || ' are verified. ' ||
-  count(*) FILTER (o_orderstatus = 'P') || ' assets are in quarantine and ' || count(*) FILTER (o_orderstatus = 'O') || ' await review. The area is 14.5 ha.' AS summary FROM orders GROUP BY 1""",
+    "grounding_check": """SELECT doc_id, trim(CASE WHEN doc_id % 3 = 0 THEN (n_chars + 1)::VARCHAR ELSE '' END || CASE WHEN doc_id % 4 = 0 THEN ' 0.5' ELSE '' END) AS ungrounded,
+  doc_id % 3 <> 0 AND doc_id % 4 <> 0 AS grounded FROM documents""",
+    "project_summary": """WITH f AS (SELECT o_orderpriority AS p, left(o_orderpriority, 1)::INTEGER AS r, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS v,
+  count(*) FILTER (o_orderstatus = 'P') AS q, count(*) FILTER (o_orderstatus = 'O') AS w FROM orders GROUP BY 1),
+s AS (SELECT p, [p || ' has ' || n || ' assets, of which ' || v || ' are verified.',
+  CASE WHEN q > 0 THEN q || ' assets are in quarantine and ' || w || ' await review.' END,
+  CASE WHEN r <> 2 THEN 'Canopy changed by ' || printf('%+.1f', r * 1.5 - 4) || '%.' END,
+  CASE WHEN r >= 3 THEN 'Registration is above the floor with a mean inlier ratio of ' || printf('%.2f', r * 0.2e0) || '.' END,
+  CASE WHEN r <> 3 THEN 'Net certified removals are ' || printf('%.1f', r * 10e0) || ' tCO2e.' END,
+  'The sampling error is ' || CASE r WHEN 1 THEN '1.3' WHEN 2 THEN '2.3' WHEN 3 THEN '3.3' WHEN 4 THEN '4.3' ELSE '5.3' END || '%.', 'The area is 14.5 ha.'] AS parts FROM f)
+SELECT p AS project_name, array_to_string(list_filter(parts, lambda x: x IS NOT NULL)[1:6], ' ') AS summary FROM s""",
     "label_quality": """SELECT 'good' AS kind, lang, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY 2
 UNION ALL SELECT 'unlabelled', lang, count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY 2""",
     "ratio_test_knn": """WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE * 1000)::BIGINT) AS v FROM embeddings),
 p AS (SELECT q.vec_id AS q, r.vec_id AS o, list_sum([power(q.v[i] - r.v[i], 2) FOR i IN range(1, len(q.v) + 1)])::BIGINT AS d FROM s q JOIN s r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, o) AS r FROM p)
 SELECT a.q, a.o AS nearest, a.d AS d1, b.d AS d2, a.d * 16 < b.d * 9 AS kept FROM k a JOIN k b ON a.q = b.q AND a.r = 1 AND b.r = 2""",
-    "rate_limit_window": "SELECT user_id, epoch(date_trunc('hour', ts))::BIGINT AS minute, count(*) AS n, count(*) - 1 AS rejected FROM events GROUP BY 1, 2 HAVING count(*) > 1",
-    "notification_dedup": """WITH k AS (SELECT *, user_id || ':' || CAST(json_extract(props, '$.k') AS BIGINT) AS key FROM events),
-s AS (SELECT CASE WHEN event_type = 'click' THEN 'IGNORED' WHEN row_number() OVER (PARTITION BY key, event_type = 'click' ORDER BY event_id) > 1 THEN 'DUPLICATE' ELSE 'ACCEPTED' END AS status FROM k)
-SELECT status, count(*) AS n FROM s GROUP BY 1""",
-    "freshness": "SELECT CASE WHEN abs(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-15 12:00:00')) > 7200000000 THEN 'STALE' ELSE 'FRESH' END AS state, count(*) AS n FROM events GROUP BY 1",
-    "handler_counts": """SELECT CASE event_type WHEN 'view' THEN 'eager' WHEN 'purchase' THEN 'upload' WHEN 'signup' THEN 'video' ELSE 'IGNORED' END AS handler, count(*) AS n,
-  count(DISTINCT user_id || ':' || CAST(json_extract(props, '$.k') AS BIGINT)) AS keys FROM events GROUP BY 1""",
+    "rate_limit_window": "SELECT user_id, floor(epoch(ts))::BIGINT // 3600 * 60 AS minute, count(*) AS n, count(*) - 1 AS rejected, 60 AS retry_after FROM events GROUP BY 1, 2 HAVING count(*) > 1",
+    "notification_dedup": f"""WITH {_NOTES}, b AS (SELECT *, coalesce(count(*) FILTER (status = 'ACCEPTED') OVER (PARTITION BY key ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM notes),
+s AS (SELECT CASE WHEN status IN ('ACCEPTED', 'IGNORED_UNHANDLED') AND before > 0 THEN 'DUPLICATE' ELSE status END AS status FROM b)
+SELECT status, CASE WHEN status = 'REJECTED_UNVERIFIED' THEN 400 ELSE 200 END AS http, count(*) AS n FROM s GROUP BY 1""",
+    "freshness": f"WITH {_NOTES} SELECT reason = 'verified' AS ok, reason, count(*) AS n FROM notes GROUP BY 2",
+    "handler_counts": f"""WITH {_NOTES} SELECT kind, CASE WHEN kind IN ('eager', 'upload', 'video') THEN 'ACCEPTED' ELSE 'IGNORED_UNHANDLED' END AS status, count(*) AS n,
+  count(DISTINCT key) AS keys FROM notes GROUP BY 1""",
     "signatures": "SELECT event_id, sha256(event_id || '|' || props || '1700000000' || 'secret') AS signature FROM events",
-    "otsu_threshold": """WITH h AS (SELECT l_quantity::BIGINT AS v, count(*) AS n FROM lineitem GROUP BY 1),
-c AS (SELECT v, sum(n) OVER (ORDER BY v) AS w0, sum(v * n) OVER (ORDER BY v) AS s0, sum(n) OVER () AS w, sum(v * n) OVER () AS s FROM h),
-b AS (SELECT v, round(CASE WHEN w > w0 THEN w0::DOUBLE * (w - w0) * power(s0 / w0::DOUBLE - (s - s0) / (w - w0)::DOUBLE, 2) END / w / w, 6) AS variance FROM c)
-SELECT v AS threshold, round(variance, 4) AS variance FROM b ORDER BY b.variance DESC NULLS LAST, v LIMIT 1""",
+    "otsu_threshold": """WITH x AS (SELECT vec_id, unnest(list_transform(embedding, lambda e: floor(greatest(0, least(255, (e::DOUBLE + 1) * 127.5)))::BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL),
+h AS (SELECT vec_id, v, count(*) AS n FROM x GROUP BY ALL),
+c AS (SELECT vec_id, v, sum(n) OVER up AS w, sum(v * n) OVER up AS s, sum(n) OVER all_of AS wt, sum(v * n) OVER all_of AS st FROM h
+  WINDOW up AS (PARTITION BY vec_id ORDER BY v), all_of AS (PARTITION BY vec_id)),
+b AS (SELECT vec_id, v, CASE WHEN wt > w THEN power((st * w - s * wt)::DOUBLE, 2) / (w * (wt - w))::DOUBLE ELSE -1 END AS variance FROM c)
+SELECT vec_id, CASE WHEN max(variance) < 0 THEN 0 ELSE arg_min(v, (-variance, v)) END AS threshold FROM b GROUP BY 1""",
     "median_gains": """WITH g AS (SELECT o_orderpriority, median(o_totalprice) FILTER (o_orderstatus = 'F') / median(o_totalprice) FILTER (o_orderstatus = 'O') AS gain FROM orders GROUP BY 1)
 SELECT o_orderpriority, round(gain, 6) AS gain, CASE WHEN gain > 3 OR gain < 1 / 3e0 THEN 'REFUSED' WHEN abs(gain - 1) <= 0.02e0 THEN 'NOOP' ELSE 'CORRECTED' END AS status FROM g""",
-    "histogram_match": """WITH h AS (SELECT l_returnflag AS f, l_quantity::BIGINT AS v, count(*) AS n FROM lineitem GROUP BY ALL),
-c AS (SELECT f, v, sum(n) OVER (PARTITION BY f ORDER BY v) AS c, sum(n) OVER (PARTITION BY f) AS t FROM h)
-SELECT a.v, min(b.v) AS matched FROM c a JOIN c b ON a.f = 'R' AND b.f = 'N' AND b.c * a.t >= a.c * b.t GROUP BY 1""",
+    "histogram_match": """WITH h AS (SELECT l_suppkey, l_returnflag AS f, floor(l_quantity)::BIGINT AS v, count(*) AS n FROM lineitem GROUP BY ALL),
+c AS (SELECT l_suppkey, f, v, sum(n) OVER (PARTITION BY l_suppkey, f ORDER BY v) AS c, sum(n) OVER (PARTITION BY l_suppkey, f) AS t FROM h)
+SELECT a.l_suppkey, a.v, min(b.v) AS matched FROM c a JOIN c b ON a.l_suppkey = b.l_suppkey AND a.f = 'R' AND b.f = 'N' AND b.c * a.t >= a.c * b.t GROUP BY 1, 2""",
     "report_rows": f"""WITH {_ERRORS} SELECT 'SUP-' || lpad(l_suppkey::VARCHAR, 3, '0') AS project_id, NULL::VARCHAR AS problem,
   'https://app.example.org/api/v1/assets/SUP-' || lpad(l_suppkey::VARCHAR, 3, '0') || '/provenance' AS record_url FROM errors""",
     "notification_results": """WITH k AS (SELECT ts, event_type = 'click' AS other, user_id || ':' || CAST(json_extract(props, '$.k') AS BIGINT) AS key FROM events),
 b AS (SELECT *, coalesce(count(*) FILTER (NOT other) OVER (PARTITION BY key ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)
 SELECT CASE WHEN before > 0 THEN 'DUPLICATE' WHEN other THEN 'IGNORED_UNHANDLED' ELSE 'ACCEPTED' END AS status, count(*) AS n FROM b GROUP BY 1""",
-    "affine_residual": "SELECT l_suppkey, round(sqrt((regr_syy(l_extendedprice, l_quantity) - power(regr_sxy(l_extendedprice, l_quantity), 2) / regr_sxx(l_extendedprice, l_quantity)) / count(*)), 3) AS rms FROM lineitem GROUP BY 1",
+    "affine_residual": "SELECT l_suppkey, round(sqrt((regr_syy(l_extendedprice, l_quantity) - power(regr_sxy(l_extendedprice, l_quantity), 2) / regr_sxx(l_extendedprice, l_quantity)) / count(*)), 2) AS rms FROM lineitem GROUP BY 1",
 }
