@@ -46,7 +46,7 @@ def read_pieces(path: str) -> dict[str, float]:
 class Trie:
     """Pre-tokens with shared forward scores. ``most`` bounds its nodes."""
 
-    def __init__(self, pieces: dict[str, float], most: int = 400_000) -> None:
+    def __init__(self, pieces: dict[str, float], most: int = 1_000_000) -> None:
         self.pieces, self.most = pieces, most
         #: Every ending of a piece, with the score of those that are pieces: where it has no entry, no piece is longer.
         self.endings: dict[str, float | None] = {p[i:]: None for p in pieces for i in range(len(p))} | pieces
@@ -110,7 +110,7 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, n_tokens, n_pretokens) for each row of ``docs`` (doc_id, text); other columns are ignored.
 
     A pre-token is a run of characters that are not white space, with the space before it. Null and empty texts have
-    no tokens; repeated rows are counted each; texts of any length are counted whole.
+    no tokens; repeated rows are counted each; texts of any length are counted whole; no rows give no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -415,6 +415,9 @@ def test_token_counts(spark, data, odd):
         assert got == sorted((r.doc_id or -1, sum(trie.count("▁" + w) for w in (r.text or "").split()), len((r.text or "").split())) for r in df.collect())
 
 
+    assert tokencount.count_tokens(odd.limit(0), tokencount.piece_path()).count() == 0
+
+
 # --- 8 decontamination
 
 
