@@ -32,15 +32,17 @@ def windows(segments: DataFrame, shortest: float = SHORTEST) -> DataFrame:
     return edges.withColumn("w_end", after).where(F.col("w_end") - F.col("w_start") >= shortest)
 
 
-def cues(segments: DataFrame, shortest: float = SHORTEST, confidence: float = CONFIDENCE) -> DataFrame:
+def cues(segments: DataFrame, shortest: float = SHORTEST, confidence: float = CONFIDENCE, most_lines: int | None = None) -> DataFrame:
     """(video_id, cue, start, end, lines): what is seen in each window, surest first, each line once.
 
-    Segments below the confidence still cut the time line. The join is by video; within it, by containment.
+    ``most_lines`` keeps the surest lines of a cue. Segments below the confidence still cut the time line. The join is by video; within it, by containment.
     """
     sure = segments.where(F.col("confidence") >= confidence)
     joined = windows(segments, shortest).join(sure, "video_id").where((F.col("start") <= F.col("w_start")) & (F.col("end") >= F.col("w_end")))
     order = F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("c"), "seq", cue_text(F.col("tag")).alias("line"))))
     found = joined.groupBy("video_id", "w_start", "w_end").agg(F.array_distinct(F.transform(order, lambda x: x["line"])).alias("lines"))
+    if most_lines is not None:
+        found = found.withColumn("lines", F.slice("lines", 1, most_lines))
     number = F.row_number().over(Window.partitionBy("video_id").orderBy("w_start"))
     return found.select(
         "video_id", number.alias("cue"), F.col("w_start").alias("start"), F.least("w_end", F.col("w_start") + LONGEST).alias("end"), "lines"
@@ -94,3 +96,9 @@ def hotspots(segments: DataFrame, labels: DataFrame | None = None, x: float = 50
 def active_at(rows: DataFrame, moment: float, slack: float = 0.0) -> DataFrame:
     """Rows whose interval holds a moment, in order of their start."""
     return rows.where((F.col("start") - slack <= moment) & (F.col("end") + slack >= moment)).orderBy("start")
+
+
+def tags_by_video(segments: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
+    """(video_id, tags): the distinct tags of sure segments, in order; a video without one has an empty array."""
+    sure = F.when(F.col("confidence") >= confidence, F.col("tag"))
+    return segments.groupBy("video_id").agg(F.array_sort(F.collect_set(sure)).alias("tags"))

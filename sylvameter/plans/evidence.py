@@ -142,6 +142,16 @@ def caption_check(spark: SparkSession, d: str) -> DataFrame:
     return documents.select("video_id", F.array_join(F.array_sort(problems), " ").alias("problems"), F.length("vtt").cast("long").alias("n_chars"))
 
 
+def video_tags(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.tags_by_video(_segments(spark, d)).select("video_id", F.array_join("tags", ",").alias("tags"))
+
+
+def surest_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Cues with one line, the surest."""
+    found = intervals.cues(_segments(spark, d), most_lines=1)
+    return found.select("video_id", "cue", F.array_join("lines", "|").alias("line"))
+
+
 def hotspots(spark: SparkSession, d: str) -> DataFrame:
     return intervals.hotspots(_segments(spark, d)).select("video_id", "number", "hotspot_id", "title", "start", "end", "description")
 
@@ -361,7 +371,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         solar_position, shadow_verdict, verdict_tallies, time_of_day, allometry, allometry_stand, sampling_error, vm0047_discount, phash_nearest, phash_scoped,
-        phash_verdict, sweep_cues, caption_check, hotspots, active_at, vtt_timestamp, tag_rules, tag_fusion, tag_conflicts, number_extract, grounding_check,
+        phash_verdict, sweep_cues, video_tags, surest_lines, caption_check, hotspots, active_at, vtt_timestamp, tag_rules, tag_fusion, tag_conflicts, number_extract, grounding_check,
         project_summary, label_quality, ratio_test_knn, rate_limit_window, notification_dedup, freshness, handler_counts, signatures, otsu_threshold,
         median_gains, histogram_match, affine_residual, demo_corpus, demo_batch, demo_campaign, report_rows, image_measures, notification_results,
     )
@@ -468,6 +478,8 @@ SELECT event_id, CASE WHEN implied < 180 THEN 'MORNING' ELSE 'AFTERNOON' END AS
     "phash_scoped": _nearest("same"),
     "phash_verdict": f"SELECT CASE WHEN distance IS NULL OR distance > 12 THEN 'UNIQUE' WHEN distance <= 8 THEN 'QUARANTINE_DUPLICATE' ELSE 'REVIEW_SIMILAR' END AS verdict, count(*) AS n FROM ({_nearest('true')}) GROUP BY 1",
     "sweep_cues": f"WITH {_CUES} SELECT video_id, cue::INTEGER AS cue, round(a, 3) AS start, round(b, 3) AS \"end\", lines FROM cues",
+    "video_tags": f"WITH {_SEGMENTS} SELECT video_id, coalesce(string_agg(DISTINCT tag, ',' ORDER BY tag) FILTER (conf >= 0.6e0), '') AS tags FROM seg GROUP BY 1",
+    "surest_lines": f"WITH {_CUES} SELECT video_id, cue::INTEGER AS cue, split_part(lines, '|', 1) AS line FROM cues",
     "caption_check": f"""WITH {_CUES}, t AS (SELECT video_id, (8 + sum(length(cue::VARCHAR) + 1 + 29 + 1 + length(lines)) + 2 * (count(*) - 1) + 1)::BIGINT AS n_chars, max(b) AS last FROM cues GROUP BY 1)
 SELECT video_id, n_chars, CASE n_chars % 5 WHEN 1 THEN 'no_header' WHEN 2 THEN 'no_cues' WHEN 3 THEN CASE WHEN last > 5 THEN 'backward_cue overlap' ELSE 'backward_cue' END WHEN 4 THEN 'bad_time' ELSE '' END AS problems FROM t""",
     "hotspots": f"""WITH {_SEGMENTS}, k AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY a, conf DESC, seq) AS r FROM seg WHERE conf >= 0.6e0 AND b - a >= 0.8e0)
