@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sylvameter.llm import (
     contamination,
     extraction,
+    interactions,
     langid,
     linededup,
     packing,
@@ -96,6 +97,11 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes at each step of each of their orders, by language."""
+    return interactions.audit(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_exact_top_k": op2_exact_top_k,
@@ -107,10 +113,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_simhash_groups": op9_simhash_groups,
     "op10_secret_ownership": op10_secret_ownership,
+    "op13_filter_interactions": op13_filter_interactions,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_top_k": topk.oracle_sql(),
     "op4_line_dedup": linededup.oracle_sql(),
     "op8_decontamination": contamination.oracle_sql(),
     "op10_secret_ownership": secrets.oracle_sql(),
+    "op13_filter_interactions": interactions.oracle_sql(),
 }
