@@ -14,6 +14,7 @@ from sylvameter.llm import (
     langid,
     linededup,
     packing,
+    quality,
     secrets,
     simhash,
     tokencount,
@@ -97,6 +98,19 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements, failed rules and verdict of every document, read off the ledger under the fullest policy."""
+    found = quality.judge(quality.ledger(spread(table(spark, sf_dir, "documents"))))
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return found.select("doc_id", *base, "base_failed", "kept", "failed", "policy")
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each version of the quality policy loses by each of its rules, by language."""
+    found = quality.ledger(spread(table(spark, sf_dir, "documents")), quality.RULES, "lang")
+    return quality.ablations(found, part="lang")
+
+
 def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each of five filters removes at each step of each of their orders, by language."""
     return interactions.audit(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
@@ -113,12 +127,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_simhash_groups": op9_simhash_groups,
     "op10_secret_ownership": op10_secret_ownership,
+    "op12_quality_rules": op12_quality_rules,
     "op13_filter_interactions": op13_filter_interactions,
+    "quality_ablations": quality_ablations,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_top_k": topk.oracle_sql(),
     "op4_line_dedup": linededup.oracle_sql(),
     "op8_decontamination": contamination.oracle_sql(),
     "op10_secret_ownership": secrets.oracle_sql(),
+    "op12_quality_rules": quality.oracle_sql(),
     "op13_filter_interactions": interactions.oracle_sql(),
+    "quality_ablations": quality.ablations_sql(),
 }
