@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvameter.llm import (
+    alignment,
     contamination,
     extraction,
     interactions,
@@ -98,6 +99,11 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of the byte-level and of the piece vocabulary meet in every document, and how usual their links are."""
+    return alignment.align_corpus(spread(table(spark, sf_dir, "documents")), tokens.byte_bpe_path(), tokencount.piece_path())
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, failed rules and verdict of every document, read off the ledger under the fullest policy."""
     found = quality.judge(quality.ledger(spread(table(spark, sf_dir, "documents"))))
@@ -127,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_simhash_groups": op9_simhash_groups,
     "op10_secret_ownership": op10_secret_ownership,
+    "op11_token_alignment": op11_token_alignment,
     "op12_quality_rules": op12_quality_rules,
     "op13_filter_interactions": op13_filter_interactions,
     "quality_ablations": quality_ablations,
