@@ -38,8 +38,9 @@ SECOND_PERSON = frozenset(
 #: Characters that stand for letters in disguised words.
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"})
 _WORD = re.compile(r"[^\W\d_]+")
-_MASKED = re.compile(r"[^\W\d_]+(?:[0-9@$*!|.\-_]+[^\W\d_]+)+")
-_BETWEEN = re.compile(r"[0-9@$*!|.\-_]+(?=[^\W\d_])")
+# both begin at the first character of a run and give nothing back, so that a run of any length is read once
+_MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[0-9@$*!|.\-_]++[^\W\d_]++)++")
+_BETWEEN = re.compile(r"(?<![0-9@$*!|.\-_])[0-9@$*!|.\-_]++(?=[^\W\d_])")
 _NEAR = 5
 FEATURES = 15
 FOLDS = 2
