@@ -18,7 +18,6 @@ from sylvameter.llm.common import own_exchange, unused
 from sylvameter.session import materialise
 
 _KEY = ["h1", "h2"]
-LEAST_BYTES = 8
 #: The characters of the Unicode property White_Space but the line feed, which parts lines.
 WHITE = "\t\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -37,7 +36,7 @@ def _occurrences(docs: DataFrame, site: str) -> DataFrame:
     )
     rows = texts.select("doc_id", "text_key", "site", F.posexplode_outer("lines").alias("pos", "line"))
     line = F.btrim("line", F.lit(WHITE))
-    kept = rows.where(F.octet_length(line) >= LEAST_BYTES)
+    kept = rows.where(line != "")
     return kept.select("doc_id", "text_key", "site", "pos", F.xxhash64(line).alias("h1"), F.crc32(line).alias("h2"))
 
 
@@ -81,8 +80,8 @@ def _without(lines: Column, places: Column) -> Column:
 def remove_boilerplate(docs: DataFrame, site: str = "source", least_sites: int = 5) -> DataFrame:
     """``docs``, all columns, with ``text`` cleaned, and n_lines and n_removed beside.
 
-    A null text stays null and has no lines removed; an empty one has one empty line. Lines of fewer than LEAST_BYTES
-    bytes always stay, blank ones too. Repeated rows (same doc_id and text) are one document: they keep and lose the same
+    A null text stays null and has no lines removed; an empty one has one empty line. Blank lines always
+    stay; any other takes part, however short. Repeated rows (same doc_id and text) are one document: they keep and lose the same
     lines. A null site is a site of its own; a null doc_id comes first among equals. Columns of any name are carried;
     where ``docs`` has an n_lines or n_removed, the new one gets an underscore. No rows give no rows.
     """
@@ -112,7 +111,7 @@ WITH texts AS (
   SELECT *, trim(line, {white}) AS core FROM lines
 ), known AS (
   SELECT core, arg_min(doc_id, (doc_id, pos)) AS first_doc, arg_min(pos, (doc_id, pos)) AS first_pos
-  FROM bare WHERE octet_length(encode(core)) >= {LEAST_BYTES}
+  FROM bare WHERE core <> ''
   GROUP BY 1 HAVING count(DISTINCT site) >= {least_sites}
 ), marked AS (
   SELECT l.doc_id, l.pos, l.line, k.core IS NOT NULL AND NOT (l.doc_id = first_doc AND l.pos = first_pos) AS gone
