@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sylvameter.functions import text as text_functions
 from sylvameter.operators import nlquery, search, validation
+from sylvameter.operators.termindex import TermIndex
 from sylvameter.operators.validation import Rule
 from sylvameter.session import spread
 from sylvameter.sources.tables import table
@@ -50,6 +51,34 @@ def search_filtered(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
+def _changed_index(spark: SparkSession, d: str) -> TermIndex:
+    """All documents in two batches of languages; then those of one language with more words, and a source taken out."""
+    docs = _docs(spark, d).select("doc_id", "text", F.array("lang").alias("tags"), F.col("source").alias("project"))
+    first = F.coalesce(F.get("tags", F.lit(0)), F.lit("")).isin("en", "fr")
+    index = TermIndex(spark)
+    index.add(docs.where(first))
+    index.add(docs.where(~first))
+    index.add(docs.where(F.array_contains("tags", "de")).withColumn("text", F.concat_ws(" ", "text", F.lit("Forest clown by the river"))))
+    index.remove(docs.where("project = 'src3'"))
+    return index
+
+
+def index_search(spark: SparkSession, d: str) -> DataFrame:
+    found = _changed_index(spark, d).search(_ASKED, 10)
+    return found.select("doc_id", F.round("score", 6).alias("score"), F.array_join("matched", " ").alias("matched"))
+
+
+def index_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    return _changed_index(spark, d).vocabulary()
+
+
+def index_similar(spark: SparkSession, d: str) -> DataFrame:
+    """Asked of the index after it was written whole again."""
+    index = _changed_index(spark, d)
+    index.compact()
+    return index.similar_to(_ANCHOR, 10).select("doc_id", F.round("score", 6).alias("score"))
+
+
 def _assets(spark: SparkSession, d: str) -> DataFrame:
     """Orders under the names of the catalogue."""
     o = table(spark, d, "orders")
@@ -128,7 +157,7 @@ def content_address(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (token_synonyms, idf_table, tfidf_top_k, tfidf_similar, tfidf_unmatched, search_filtered, search_router, schema_violations, schema_bootstrap, url_parts, content_address)
+    for f in (token_synonyms, idf_table, tfidf_top_k, tfidf_similar, tfidf_unmatched, search_filtered, index_search, index_vocabulary, index_similar, search_router, schema_violations, schema_bootstrap, url_parts, content_address)
 } | {name: _compiled(sentence) for name, (sentence, _) in SENTENCES.items()}
 
 _STOPS = ", ".join(f"'{w}'" for w in text_functions.STOP_WORDS)
@@ -142,11 +171,18 @@ words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS
 terms AS (SELECT doc_id, coalesce(name, w.word) AS term FROM words w LEFT JOIN synonyms s ON s.word = w.word WHERE length(w.word) >= 2 AND w.word NOT IN ({_STOPS}))"""
 
 
-_INDEX = f"""{_terms("documents")},
+def _index(source: str) -> str:
+    return f"""{_terms(source)},
 counts AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
-idf AS (SELECT term, count(*) AS df, ln((1e0 + (SELECT count(*) FROM documents)) / (1e0 + count(*))) + 1e0 AS idf FROM counts GROUP BY 1),
+idf AS (SELECT term, count(*) AS df, ln((1e0 + (SELECT count(*) FROM {source})) / (1e0 + count(*))) + 1e0 AS idf FROM counts GROUP BY 1),
 raw AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS r FROM counts JOIN idf USING (term)),
 vec AS (SELECT doc_id, term, r / sqrt(sum(r * r) OVER (PARTITION BY doc_id)) AS w FROM raw)"""
+
+
+_INDEX = _index("documents")
+_LEFT = f"""left_over AS (
+  SELECT doc_id, CASE WHEN lang = 'de' THEN concat_ws(' ', text, 'Forest clown by the river') ELSE text END AS text FROM documents WHERE source IS DISTINCT FROM 'src3'
+), {_index("left_over")}"""
 _QUERY = f"""asked AS (SELECT 0 AS doc_id, '{_ASKED}' AS text),
 qwords AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM asked),
 qterms AS (SELECT coalesce(name, q.word) AS term, count(*) AS tf FROM qwords q LEFT JOIN synonyms s ON s.word = q.word WHERE length(q.word) >= 2 AND q.word NOT IN ({_STOPS}) GROUP BY 1),
@@ -160,6 +196,9 @@ ORACLE_SQL: dict[str, str] = {
     "tfidf_top_k": f"WITH {_INDEX}, {_QUERY} SELECT doc_id, round(score, 6) AS score, matched FROM hits ORDER BY round(score, 8) DESC, doc_id LIMIT 10",
     "tfidf_similar": f"WITH {_INDEX} SELECT b.doc_id, round(sum(a.w * b.w), 6) AS score FROM vec a JOIN vec b ON a.term = b.term AND a.doc_id = {_ANCHOR} AND b.doc_id <> {_ANCHOR} GROUP BY 1 ORDER BY round(sum(a.w * b.w), 8) DESC, 1 LIMIT 10",
     "tfidf_unmatched": f"WITH {_INDEX}, {_QUERY} SELECT term FROM qterms WHERE term NOT IN (SELECT term FROM idf)",
+    "index_search": f"WITH {_LEFT}, {_QUERY} SELECT doc_id, round(score, 6) AS score, matched FROM hits ORDER BY round(score, 8) DESC, doc_id LIMIT 10",
+    "index_vocabulary": f"WITH {_LEFT} SELECT term, df FROM idf",
+    "index_similar": f"WITH {_LEFT} SELECT b.doc_id, round(sum(a.w * b.w), 6) AS score FROM vec a JOIN vec b ON a.term = b.term AND a.doc_id = {_ANCHOR} AND b.doc_id <> {_ANCHOR} GROUP BY 1 ORDER BY round(sum(a.w * b.w), 8) DESC, 1 LIMIT 10",
     "search_filtered": f"WITH {_INDEX}, {_QUERY} SELECT doc_id, round(score, 6) AS score FROM hits JOIN documents USING (doc_id) WHERE coalesce(source, '') IN ('', 'src3') AND lower(lang) = 'en' ORDER BY round(score, 8) DESC, doc_id LIMIT 10",
     "search_router": "SELECT o_orderkey AS asset_id, 'structured' AS way FROM orders WHERE o_orderstatus = 'F' AND o_totalprice / 1000 >= 450",
     "schema_violations": """

@@ -51,6 +51,11 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new place for a table or folder of tables of this application in the shared folder; ``clean`` deletes it."""
+    return f"{shared_folder(spark)}/sylvameter-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4()}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and continue from its files, which cuts the lineage.
 
@@ -58,7 +63,7 @@ def materialise(df: DataFrame) -> DataFrame:
     estimates that multiply over rounds of joins. Tables stay until ``clean`` or the end of a ``scratch`` block.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/sylvameter-{spark.sparkContext.applicationId}/{uuid.uuid4()}.parquet"
+    path = f"{shared_path(spark, 'table')}.parquet"
     for held in _scratch:
         held.append(path)
     df.write.parquet(path)
