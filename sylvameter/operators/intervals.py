@@ -9,20 +9,43 @@ from sylvameter.functions.text import caption_time, cue_text, parse_caption_time
 
 #: Least confidence, least length of a cue in seconds, longest cue, slack of a hotspot.
 CONFIDENCE, SHORTEST, LONGEST, SLACK = 0.6, 0.8, 60.0, 0.5
+#: Fixed value: where a video result has its tags.
+TAGS_PATH = ("info", "categorization", "google_video_tagging", "data")
 
 
-def segments_from_json(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """(video_id, seq, tag, start, end, confidence) of tagging results; either name of a time is read.
+def is_object(json: Column) -> Column:
+    return F.trim(json).startswith("{")
 
-    Items without a tag or times go, a window that is inverted is turned, and confidence counts as 0 where missing.
+
+def tagged_segments(payload: Column, confidence: float = CONFIDENCE) -> Column:
+    """array<struct<start, rank, seq, tag, end, confidence>> of a video result (JSON), by start and falling confidence.
+
+    Either name of a time is read, as a number or its text; a window that is inverted is turned. Items that are no
+    objects, or without a tag or times, go, and so do those below ``confidence``, which is 1 where it is missing.
     """
-    item = "struct<tag:string,start_time_offset:double,start:double,end_time_offset:double,end:double,confidence:double>"
-    schema = f"struct<info:struct<categorization:struct<google_video_tagging:struct<data:array<{item}>>>>>"
-    rows = df.select("video_id", F.posexplode(F.from_json(payload, schema)["info"]["categorization"]["google_video_tagging"]["data"]).alias("seq", "s"))
-    a, b = F.coalesce("s.start_time_offset", "s.start"), F.coalesce("s.end_time_offset", "s.end")
-    return rows.select(
-        "video_id", "seq", F.col("s.tag").alias("tag"), F.least(a, b).alias("start"), F.greatest(a, b).alias("end"), F.coalesce("s.confidence", F.lit(0.0)).alias("confidence")
-    ).where("tag is not null and start is not null and end is not null")
+    path = "$." + ".".join(TAGS_PATH)
+    items = F.from_json(F.get_json_object(payload, path), "array<string>")
+    fields = F.transform(F.filter(items, is_object), lambda x: F.from_json(x, "map<string,string>"))
+
+    def moment(item: Column, long: str, short: str) -> Column:
+        return F.when(F.map_contains_key(item, long), item[long]).otherwise(item[short]).try_cast("double")
+
+    def segment(item: Column, seq: Column) -> Column:
+        a, b = moment(item, "start_time_offset", "start"), moment(item, "end_time_offset", "end")
+        sure = F.coalesce(item["confidence"].try_cast("double"), F.lit(1.0))
+        ends = F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b))
+        return F.struct(
+            F.least(a, b).alias("start"), (-sure).alias("rank"), seq.alias("seq"), item["tag"].alias("tag"), ends.alias("end"), sure.alias("confidence"),
+        )
+
+    whole = F.filter(F.transform(fields, segment), lambda s: s["tag"].isNotNull() & s["end"].isNotNull() & (s["confidence"] >= confidence))
+    return F.coalesce(F.array_sort(whole), F.array().cast("array<struct<start:double,rank:double,seq:int,tag:string,end:double,confidence:double>>"))
+
+
+def segments_from_json(df: DataFrame, payload: str = "payload", confidence: float = CONFIDENCE) -> DataFrame:
+    """(video_id, seq, tag, start, end, confidence) of video results, as ``tagged_segments`` reads them."""
+    rows = df.select("video_id", F.inline(tagged_segments(F.col(payload), confidence)))
+    return rows.select("video_id", "seq", "tag", "start", "end", "confidence")
 
 
 def windows(segments: DataFrame, shortest: float = SHORTEST) -> DataFrame:
@@ -32,10 +55,12 @@ def windows(segments: DataFrame, shortest: float = SHORTEST) -> DataFrame:
     return edges.withColumn("w_end", after).where(F.col("w_end") - F.col("w_start") >= shortest)
 
 
-def cues(segments: DataFrame, shortest: float = SHORTEST, confidence: float = CONFIDENCE, most_lines: int | None = None) -> DataFrame:
+def cues(
+    segments: DataFrame, shortest: float = SHORTEST, confidence: float = CONFIDENCE, most_lines: int | None = None, most_cues: int | None = None
+) -> DataFrame:
     """(video_id, cue, start, end, lines): what is seen in each window, surest first, each line once.
 
-    ``most_lines`` keeps the surest lines of a cue. Segments below the confidence still cut the time line. The join is by video; within it, by containment.
+    ``most_cues`` keeps the first cues of a video in time, ``most_lines`` the surest lines of a cue. Segments below the confidence still cut the time line. The join is by video; within it, by containment.
     """
     sure = segments.where(F.col("confidence") >= confidence)
     joined = windows(segments, shortest).join(sure, "video_id").where((F.col("start") <= F.col("w_start")) & (F.col("end") >= F.col("w_end")))
@@ -44,9 +69,10 @@ def cues(segments: DataFrame, shortest: float = SHORTEST, confidence: float = CO
     if most_lines is not None:
         found = found.withColumn("lines", F.slice("lines", 1, most_lines))
     number = F.row_number().over(Window.partitionBy("video_id").orderBy("w_start"))
-    return found.select(
+    numbered = found.select(
         "video_id", number.alias("cue"), F.col("w_start").alias("start"), F.least("w_end", F.col("w_start") + LONGEST).alias("end"), "lines"
     )
+    return numbered if most_cues is None else numbered.where(F.col("cue") <= most_cues)
 
 
 def caption_documents(found: DataFrame, kind: str = "captions") -> DataFrame:

@@ -58,3 +58,20 @@ def ratio_test(vectors: DataFrame, asks: Column, ratio: tuple[int, int] = (9, 16
     two = out.withColumn("r", rank).where("r <= 2").groupBy("q").agg(F.min(F.struct("d", "id")).alias("a"), F.max(F.struct("d", "id")).alias("b"), F.count("*").alias("n"))
     d1, d2 = F.col("a.d"), F.col("b.d")
     return two.where("n = 2").select("q", F.col("a.id").alias("nearest"), d1.alias("d1"), d2.alias("d2"), (d1 * ratio[1] < d2 * ratio[0]).alias("kept"))
+
+
+def match_histograms(rows: DataFrame, key: str) -> DataFrame:
+    """(key, v, matched): what each source value becomes so that the source is distributed as the target, by ``key``.
+
+    ``rows`` has key, source (true for the source, false for the target) and the whole number v. A value becomes the
+    least target value whose share of values up to it is no smaller. Values are counted before rows meet, and a group
+    is as large as its distinct values; groups without a source or a target have no rows.
+    """
+    counts = rows.groupBy(key, "source", "v").agg(F.count("*").alias("n"))
+    side = Window.partitionBy(key, "source")
+    up = counts.select(key, "source", "v", F.sum("n").over(side.orderBy("v")).alias("c"), F.sum("n").over(side).alias("t"))
+    steps = F.array_sort(F.collect_list(F.struct("v", "c")))
+    target = up.where("not source").groupBy(key).agg(steps.alias("steps"), F.first("t").alias("tt"))
+    met = up.where("source").join(target, key)
+    reached = F.filter("steps", lambda s: s["c"] * F.col("t") >= F.col("c") * F.col("tt"))
+    return met.select(key, "v", F.get(reached, F.lit(0))["v"].alias("matched"))

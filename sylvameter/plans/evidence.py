@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvameter.functions import biomass, diagnostics, geometry, imaging, solar
+from sylvameter.functions import biomass, imaging, solar
 from sylvameter.functions import text as text_functions
-from sylvameter.operators import batch, dedup, grounding, intervals, links, matching, measure, tagging
+from sylvameter.operators import batch, dedup, grounding, intervals, leastsquares, links, matching, measure, tagging
 from sylvameter.session import spread
 from sylvameter.sources import corpus
 from sylvameter.sources.tables import table
@@ -109,7 +109,7 @@ def phash_scoped(spark: SparkSession, d: str) -> DataFrame:
 
 def phash_verdict(spark: SparkSession, d: str) -> DataFrame:
     h = _hashes(spark, d)
-    found = dedup.nearest(h, h, earlier_only=True)
+    found = dedup.nearest(h, h, earlier_only=True, most_distance=dedup.REVIEW)
     return found.groupBy(dedup.verdict(F.col("distance")).alias("verdict")).agg(F.count("*").alias("n"))
 
 
@@ -305,26 +305,16 @@ def median_gains(spark: SparkSession, d: str) -> DataFrame:
 
 def histogram_match(spark: SparkSession, d: str) -> DataFrame:
     """By supplier, what the quantities of returned lines become when they are matched to those of others."""
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = (pdf.loc[pdf["l_returnflag"] == f, "v"].to_numpy(np.uint8) for f in ("R", "N"))
-        if not len(a) or not len(b):
-            return pd.DataFrame({"l_suppkey": [], "v": [], "matched": []})
-        to = diagnostics.match_histogram(a.reshape(-1, 1, 1), b.reshape(-1, 1, 1)).ravel()
-        return pd.DataFrame({"l_suppkey": pdf["l_suppkey"].iloc[0], "v": a, "matched": to}).drop_duplicates()
-
-    rows = table(spark, d, "lineitem").select("l_suppkey", "l_returnflag", F.col("l_quantity").cast("int").alias("v"))
-    return rows.groupBy("l_suppkey").applyInPandas(match, "l_suppkey long, v long, matched long")
+    flag = F.when(F.col("l_returnflag") == "R", True).when(F.col("l_returnflag") == "N", False)
+    rows = table(spark, d, "lineitem").select("l_suppkey", flag.alias("source"), F.col("l_quantity").cast("int").cast("long").alias("v"))
+    return matching.match_histograms(rows.where("source is not null"), "l_suppkey")
 
 
 def affine_residual(spark: SparkSession, d: str) -> DataFrame:
     """By supplier: what the best affine map of (quantity, 0) to (price, 0) leaves, as a root mean square."""
-    def rest(pdf: pd.DataFrame) -> pd.DataFrame:
-        flat = np.zeros(len(pdf))
-        src, dst = (np.column_stack([pdf[c].to_numpy(np.float64), flat]) for c in ("x", "y"))
-        return pd.DataFrame({"l_suppkey": [pdf["l_suppkey"].iloc[0]], "rms": [geometry.affine_residual(src, dst)]})
-
-    rows = table(spark, d, "lineitem").select("l_suppkey", F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("y"))
-    return rows.groupBy("l_suppkey").applyInPandas(rest, "l_suppkey long, rms double").select("l_suppkey", F.round("rms", 2).alias("rms"))
+    quantity, price, none = F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("u"), F.lit(0.0)
+    points = table(spark, d, "lineitem").select("l_suppkey", quantity, none.alias("y"), price, none.alias("v"))
+    return leastsquares.affine_fit(points, "l_suppkey").select("l_suppkey", F.round("rms", 2).alias("rms"))
 
 
 def demo_corpus(spark: SparkSession, d: str) -> DataFrame:

@@ -9,13 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvameter.session import ship
+from sylvameter.streaming.handlers import handled
 
 #: Seconds for which a signed time is fresh, header names, and handled kinds.
 FRESH_SECONDS = 7200
 SIGNATURE_HEADERS = ("x-cld-signature", "x-signature")
 TIMESTAMP_HEADER = "x-cld-timestamp"
 HANDLED = ("eager", "upload", "video")
-BODY = "struct<notification_id:string,request_id:string,asset_id:string,public_id:string,version:string,notification_type:string,eager:array<string>>"
+BODY = "struct<notification_id:string,request_id:string,asset_id:string,public_id:string,version:string,notification_type:string>"
 SCHEMA = "body binary, headers map<string,string>, received_at timestamp"
 
 
@@ -64,26 +65,40 @@ def parsed(df: DataFrame, with_kind: bool = True) -> DataFrame:
 
 
 def judged(df: DataFrame, secret: str | None, **settings) -> DataFrame:
-    """(key, received_at, kind, status, reason) before duplicates are looked for."""
-    rows = parsed(verified(df, secret, **settings))
+    """(key, received_at, kind, status, reason, ready, derived) before duplicates are looked for.
+
+    Status HANDLER_FAILED is that of a payload that its handler cannot take, with the handler's reason; ``derived`` is
+    JSON of what the handler made of it, for accepted ones alone.
+    """
+    rows = parsed(verified(df, secret, **settings)).withColumn("text", F.when(F.col("ok") & F.col("p").isNotNull(), F.col("body").cast("string")))
+    rows = handled(rows)
     status = (
         F.when(~F.col("ok"), "REJECTED_UNVERIFIED").when(F.col("p").isNull(), "REJECTED_MALFORMED")
-        .when(F.coalesce(F.col("kind"), F.lit("")).isin(list(HANDLED)), "ACCEPTED").otherwise("IGNORED_UNHANDLED")
+        .when(~F.coalesce(F.col("kind"), F.lit("")).isin(list(HANDLED)), "IGNORED_UNHANDLED").when(F.col("failure").isNotNull(), FAILED).otherwise("ACCEPTED")
+    )
+    rows = rows.withColumn("status", status)
+    ready = F.coalesce(F.get_json_object("derived", "$.ready_count").cast("int"), F.lit(0))
+    return rows.select(
+        "key", "received_at", "kind", "status", F.when(F.col("status") == FAILED, F.concat(F.lit("handler failed: "), "failure")).otherwise(F.col("reason")).alias("reason"),
+        ready.alias("ready"), F.when(F.col("status") == "ACCEPTED", F.col("derived")).alias("derived"),
     )
-    return rows.select("key", "received_at", "kind", status.alias("status"), "reason", F.coalesce(F.size("p.eager"), F.lit(0)).alias("ready"))
 
 
 def http_status(status: Column) -> Column:
     return F.when(status.isin("ACCEPTED", "DUPLICATE", "IGNORED_UNHANDLED"), 200).otherwise(400)
 
 
-RESULT = "key string, received_at timestamp, kind string, status string, reason string, ready int"
+RESULT = "key string, received_at timestamp, kind string, status string, reason string, ready int, derived string"
+#: Of a payload that its handler cannot take, until it is known whether it is a duplicate.
+FAILED = "HANDLER_FAILED"
+#: What is a duplicate if its key was accepted before; of these, only an accepted one counts for later ones.
+_REPEATS = ("ACCEPTED", "IGNORED_UNHANDLED", FAILED)
 
 
 def process(df: DataFrame, secret: str | None, keep_hours: int = 24, **settings) -> DataFrame:
     """One result row for each notification, duplicates of accepted ones told as such; batch or stream.
 
-    State by key says that one was accepted; it ends ``keep_hours`` after the watermark has passed it. A batch has
+    State by key says that one was accepted; it ends when the watermark is ``keep_hours`` past the last one. A batch has
     the same result by a window over the key.
     """
     rows = judged(df, secret, **settings)
@@ -91,28 +106,33 @@ def process(df: DataFrame, secret: str | None, keep_hours: int = 24, **settings)
         from pyspark.sql import Window
 
         before = F.count_if(F.col("status") == "ACCEPTED").over(Window.partitionBy("key").orderBy("received_at").rowsBetween(Window.unboundedPreceding, -1))
-        return rows.withColumn("status", F.when((F.col("status").isin("ACCEPTED", "IGNORED_UNHANDLED")) & (before > 0), "DUPLICATE").otherwise(F.col("status")))
+        again = F.col("status").isin(list(_REPEATS)) & (before > 0)
+        status = F.when(again, "DUPLICATE").when(F.col("status") == FAILED, "REJECTED_MALFORMED").otherwise(F.col("status"))
+        return rows.withColumn("again", again).withColumn("status", status).withColumn("derived", F.when(~F.col("again"), F.col("derived"))).drop("again")
 
     def once(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        seen = state.exists
+        seen, last = state.exists, state.getCurrentWatermarkMs()
         for pdf in batches:
+            last = max([last, *pdf["at"].dropna().astype(int)])
             pdf = pdf.sort_values("received_at", kind="stable").reset_index(drop=True)
             for i, status in enumerate(pdf["status"]):
-                if status in ("ACCEPTED", "IGNORED_UNHANDLED") and seen:
-                    pdf.loc[i, "status"] = "DUPLICATE"
+                if status in _REPEATS and seen:
+                    pdf.loc[i, ["status", "derived"]] = ["DUPLICATE", None]
+                elif status == FAILED:
+                    pdf.loc[i, "status"] = "REJECTED_MALFORMED"
                 seen = seen or status == "ACCEPTED"
-            yield pdf[["key", "received_at", "kind", "status", "reason", "ready"]]
+            yield pdf[["key", "received_at", "kind", "status", "reason", "ready", "derived"]]
         if seen:
             state.update((True,))
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + keep_hours * 3_600_000)
+            state.setTimeoutTimestamp(last + keep_hours * 3_600_000)  # the first batch has no watermark yet
 
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     ship(df.sparkSession)
-    timed = rows.withWatermark("received_at", f"{FRESH_SECONDS} seconds")
+    timed = rows.withColumn("at", F.unix_millis("received_at")).withWatermark("received_at", f"{FRESH_SECONDS} seconds")
     return timed.groupBy("key").applyInPandasWithState(once, RESULT, "seen boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 

@@ -60,23 +60,55 @@ def test_hamming_nearest_and_bands(spark):
     values = [int(b) ^ sum(1 << int(x) for x in rng.choice(64, int(k), replace=False)) for b in base for k in (0, 3, 9)]
     rows = [(str(i), v >> 32, v & 0xFFFFFFFF, str(i % 2), i) for i, v in enumerate(values)]
     df = spark.createDataFrame(rows, "asset_id string, hi long, lo long, project_id string, seq long")
-    for settings in ({"earlier_only": True}, {"earlier_only": True, "same_project": True}, {"earlier_only": True, "most_corpus": 17}):
-        for r in dedup.nearest(df, df, **settings).collect():
-            near = [((values[r.seq] ^ values[j]).bit_count(), j) for j in range(r.seq) if not settings.get("same_project") or (r.seq - j) % 2 == 0]
-            best = min((x for x in near if x[0] < 64), default=None)
-            assert (r.distance, r.match_id) == ((best[0], str(best[1])) if best else (None, None))
+
+    def check(found, **settings):
+        rows = found.collect()
+        assert len(rows) == len(values)
+        for r in rows:
+            near = [((values[r.seq] ^ values[j]).bit_count(), j) for j in range(r.seq if settings.get("earlier_only") else len(values)) if not settings.get("same_project") or (r.seq - j) % 2 == 0]
+            best = min((x for x in near if x[0] < 64 and x[0] <= settings.get("most_distance", 64)), default=None)
+            assert (r.distance, r.match_id) == ((best[0], str(best[1])) if best else (None, None)), settings
+
+    for settings in ({"earlier_only": True}, {"earlier_only": True, "same_project": True}, {"earlier_only": True, "most_distance": 12}, {}):
+        check(dedup.nearest(df, df, **settings), **settings)
+    plans = [dedup.nearest(df, df, earlier_only=True, most_distance=m)._jdf.queryExecution().toString() for m in (None, 12)]
+    assert not any(x in p for p in plans for x in ("NestedLoop", "Cartesian"))
     pairs = {(r.a, r.b) for r in dedup.banded_pairs(df, 8).collect()}
     assert pairs == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and (values[a[4]] ^ values[b[4]]).bit_count() <= 8}
     verdicts = spark.createDataFrame([(8, "a", "b"), (9, "a", "b"), (13, "a", "b"), (0, "a", "a"), (None, "a", None)], "d int, a string, m string")
     assert [r[0] for r in verdicts.select(dedup.verdict(F.col("d"), F.col("a"), F.col("m"))).collect()] == ["QUARANTINE_DUPLICATE", "REVIEW_SIMILAR", "UNIQUE", "RESUBMISSION", "UNIQUE"]
 
 
+def test_hash_corpus_that_grows(spark, tmp_path):
+    """Appended in batches, one of them twice, with nulls and many copies of a hash: as one search over all rows."""
+    rng = np.random.default_rng(6)
+    values = [int(v) for v in rng.integers(0, 1 << 62, 12)]
+    rows = [(i, (v ^ m) >> 32, (v ^ m) & 0xFFFFFFFF, "p" if i % 3 else None, i) for i, (v, m) in enumerate((v, m) for m in (0, 0, 1 << 40, 3 | 7 << 29) for v in values)]
+    rows += [(100, None, 5, "p", 100), (101, 5, None, None, 101)]
+    df = spark.createDataFrame(rows, "asset_id long, hi long, lo long, project_id string, seq long")
+    kept = dedup.HashCorpus(spark, str(tmp_path / "hashes"))
+    kept.append(df.where("seq < 20"), "a")
+    kept.append(df.where("seq >= 20 and seq < 90"), "b")
+    kept.append(df.where("seq >= 20"), "b")
+    assert kept.rows().count() == 48
+    for settings in ({"earlier_only": True}, {"most_distance": 4}, {"same_project": True, "earlier_only": True}):
+        got, want = ({r.asset_id: (r.match_id, r.distance) for r in f(**settings).collect()} for f in (lambda **k: kept.nearest(df, **k), lambda **k: dedup.nearest(df, df, **k)))
+        assert got == want and got[100] == got[101] == (None, None)
+    # one that comes back is matched with what it resembles, and once it is in the corpus with itself
+    probe = spark.createDataFrame([(500, (values[3] ^ 5) >> 32, (values[3] ^ 5) & 0xFFFFFFFF, "q", 500)], df.schema)
+    assert [(r.match_id, r.distance) for r in kept.nearest(probe).collect()] == [(3, 2)]
+    kept.append(probe, "c")
+    assert [(r.match_id, r.distance) for r in kept.nearest(probe).collect()] == [(500, 0)]
+    assert kept.nearest(df.limit(0)).count() == 0
+
+
 def test_captions(spark):
     rows = [("v", 0, "forest", 0.0, 10.0, 0.9), ("v", 1, "canopy", 2.0, 6.0, 0.7), ("v", 2, "blur", 3.0, 3.5, 0.2), ("v", 3, "forest", 2.0, 6.0, 0.65), ("w", 0, "late", 0.0, 90.0, 0.8)]
     seg = spark.createDataFrame(rows, "video_id string, seq int, tag string, start double, end double, confidence double")
     cues = intervals.cues(seg)
     got = [(r.video_id, r.cue, r.start, r.end, r.lines) for r in cues.orderBy("video_id", "cue").collect()]
     assert got == [("v", 1, 0, 2, ["forest"]), ("v", 2, 2, 3, ["forest", "canopy"]), ("v", 3, 3.5, 6, ["forest", "canopy"]), ("v", 4, 6, 10, ["forest"]), ("w", 1, 0, 60, ["late"])]
+    assert [r.cue for r in intervals.cues(seg, most_cues=2).where("video_id = 'v'").orderBy("cue").collect()] == [1, 2]
     docs = intervals.caption_documents(cues).join(cues.groupBy("video_id").agg(F.count("*").alias("n")), "video_id")
     assert all(r[0] == [] for r in docs.select(intervals.caption_problems(F.col("vtt"), F.col("n"))).collect())
     bad = "WEBVTT\n\n1\n00:00:05.000 --> 00:00:04.000\na\n\n2\n00:00:03.000 --> oops\nb\n"
@@ -86,7 +118,7 @@ def test_captions(spark):
     assert [r.tag for r in intervals.active_at(seg, 10.4, 0.5).where("video_id = 'v'").collect()] == ["forest"]
     payload = '{"info":{"categorization":{"google_video_tagging":{"data":[{"tag":"a","start":5,"end":2,"confidence":0.7},{"tag":null,"start":1,"end":2},{"tag":"b","start_time_offset":1,"end_time_offset":3}]}}}}'
     parsed = intervals.segments_from_json(spark.createDataFrame([("v", payload), ("x", "junk")], "video_id string, payload string")).collect()
-    assert [(r.tag, r.start, r.end, r.confidence) for r in parsed] == [("a", 2, 5, 0.7), ("b", 1, 3, 0)]
+    assert [(r.tag, r.start, r.end, r.confidence) for r in parsed] == [("b", 1, 3, 1), ("a", 2, 5, 0.7)]
 
 
 def test_tags(spark):

@@ -2,10 +2,10 @@
 
 import pytest
 
-from sylvameter.plans import catalogue, evidence, search
+from sylvameter.plans import catalogue, evidence, flows, search
 
-QUERIES = catalogue.QUERIES | search.QUERIES | evidence.QUERIES
-SQL = catalogue.ORACLE_SQL | search.ORACLE_SQL | evidence.ORACLE_SQL
+QUERIES = catalogue.QUERIES | search.QUERIES | evidence.QUERIES | flows.QUERIES
+SQL = catalogue.ORACLE_SQL | search.ORACLE_SQL | evidence.ORACLE_SQL | flows.ORACLE_SQL
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
