@@ -10,12 +10,18 @@ one row there, and only its first members enter a list of the k most similar.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylvameter.operators.search import idf, term_counts, vectors
-from sylvameter.session import materialise
+from sylvameter.session import materialise, ship
 
+#: Parts of a vector that are compared by themselves, so that a batch of pairs of long documents stays small.
+PARTS = 8
 #: Slack of sums of floating-point numbers.
 _SLACK = 1e-9
 
@@ -37,18 +43,37 @@ def prefixes(unit: DataFrame, weights: DataFrame, threshold: float) -> DataFrame
 
 def linked_classes(counts: DataFrame, weights: DataFrame, membership: DataFrame, threshold: float) -> DataFrame:
     """(a, b, score), a < b: the pairs of classes whose cosine is at least ``threshold``."""
+    ship(counts.sparkSession)
     firsts = membership.where("doc_id = class_id").select("doc_id")
     unit = materialise(vectors(counts.join(firsts, "doc_id", "left_semi"), weights))
     leading = materialise(prefixes(unit, weights, threshold))
     left, right = leading.withColumnRenamed("doc_id", "a"), leading.withColumnRenamed("doc_id", "b")
     pairs = materialise(left.join(right, "term").where("a < b").select("a", "b").distinct())
-    of_a = unit.select(F.col("doc_id").alias("a"), "term", F.col("w").alias("wa"))
-    of_b = unit.select(F.col("doc_id").alias("b"), "term", F.col("w").alias("wb"))
-    met = pairs.join(of_a, "a").join(of_b, ["b", "term"])
-    return met.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("score")).where(F.col("score") >= threshold - _SLACK)
-
-
-def similar_documents(docs: DataFrame, threshold: float = 0.6) -> tuple[DataFrame, DataFrame]:
+    key = F.xxhash64("term")
+    packed = unit.groupBy("doc_id", F.pmod(key, F.lit(PARTS)).alias("part")).agg(F.array_sort(F.collect_list(F.struct(key.alias("h"), "w"))).alias("v"))
+    packed = materialise(packed.select("doc_id", "part", F.col("v.h").alias("h"), F.col("v.w").alias("w")))
+    of_a = packed.withColumnsRenamed({"doc_id": "a", "h": "ha", "w": "wa"})
+    of_b = packed.withColumnsRenamed({"doc_id": "b", "h": "hb", "w": "wb"})
+    met = pairs.join(of_a, "a").join(of_b, ["b", "part"]).select("a", "b", "ha", "wa", "hb", "wb")
+    parts = met.mapInArrow(_products, "a long, b long, dot double")
+    return parts.groupBy("a", "b").agg(F.sum("dot").alias("score")).where(F.col("score") >= threshold - _SLACK)
+
+
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, dot) of rows with two sparse vectors: ascending terms and weights."""
+    for batch in batches:
+        ends = [np.asarray(batch.column(i).offsets) for i in (2, 4)]
+        ha, wa, hb, wb = (np.asarray(batch.column(i).values) for i in range(2, 6))
+        dots = np.zeros(batch.num_rows)
+        for r in range(batch.num_rows):
+            (a0, a1), (b0, b1) = (e[r : r + 2] for e in ends)
+            x, y = ha[a0:a1], hb[b0:b1]
+            place = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            dots[r] = (wa[a0:a1] * wb[b0:b1][place])[y[place] == x].sum()
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dots)], ["a", "b", "dot"])
+
+
+def similar_documents(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(doc_id, class_id, n_links) of all documents with terms, and the links (a, b, score) between their classes.
 
     ``docs`` has doc_id and text. n_links counts the other documents whose cosine with this one is at least
@@ -65,7 +90,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.6) -> tuple[DataFram
     return membership.join(n_links, "class_id").select("doc_id", "class_id", "n_links"), links
 
 
-def most_similar(docs: DataFrame, threshold: float = 0.6, k: int = 10) -> DataFrame:
+def most_similar(docs: DataFrame, threshold: float = 0.8, k: int = 10) -> DataFrame:
     """(doc_id, rank, other_id, score): the k documents most like each one, ties to the smaller id; see similar_documents."""
     found, links = similar_documents(docs, threshold)
     found = materialise(found)

@@ -79,12 +79,12 @@ def affine_two_axes(spark: SparkSession, d: str) -> DataFrame:
 
 def similar_documents(spark: SparkSession, d: str) -> DataFrame:
     """Every document with its class of equal ones and how many others are like it."""
-    return similarity.similar_documents(search._docs(spark, d), 0.6)[0]
+    return similarity.similar_documents(search._docs(spark, d))[0]
 
 
 def most_similar(spark: SparkSession, d: str) -> DataFrame:
     """The five documents most like each one, of those that are like it at all."""
-    return similarity.most_similar(search._docs(spark, d), 0.6, 5).select("doc_id", "rank", "other_id", F.round("score", 6).alias("score"))
+    return similarity.most_similar(search._docs(spark, d), k=5).select("doc_id", "rank", "other_id", F.round("score", 6).alias("score"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (handler_results, first_cues, phash_append, affine_two_axes, similar_documents, most_similar)}
@@ -92,7 +92,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (handler_results, first_cues
 _ALIKE = f"""
 {search._INDEX},
 unit AS (SELECT doc_id, term, w FROM vec),
-alike AS (SELECT a.doc_id, b.doc_id AS other_id, sum(a.w * b.w) AS score FROM unit a JOIN unit b ON a.term = b.term AND a.doc_id <> b.doc_id GROUP BY ALL HAVING sum(a.w * b.w) >= 0.6 - 1e-9),
+alike AS (SELECT a.doc_id, b.doc_id AS other_id, sum(a.w * b.w) AS score FROM unit a JOIN unit b ON a.term = b.term AND a.doc_id <> b.doc_id GROUP BY ALL HAVING sum(a.w * b.w) >= 0.8 - 1e-9),
 texts AS (SELECT doc_id, string_agg(term || ' ' || tf, ' ' ORDER BY term) AS bag FROM counts GROUP BY 1)"""
 
 ORACLE_SQL: dict[str, str] = {

@@ -53,13 +53,13 @@ def search_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 def _changed_index(spark: SparkSession, d: str) -> TermIndex:
     """All documents in two batches of languages; then those of one language with more words, and a source taken out."""
-    docs = _docs(spark, d).select("doc_id", "text", F.array("lang").alias("tags"), F.col("source").alias("project"))
-    first = F.coalesce(F.get("tags", F.lit(0)), F.lit("")).isin("en", "fr")
-    index = TermIndex(spark)
+    docs = _docs(spark, d).withColumn("project", F.col("source"))
+    first = F.coalesce("lang", F.lit("")).isin("en", "fr")
+    index = TermIndex(spark, buckets=8)
     index.add(docs.where(first))
     index.add(docs.where(~first))
-    index.add(docs.where(F.array_contains("tags", "de")).withColumn("text", F.concat_ws(" ", "text", F.lit("Forest clown by the river"))))
-    index.remove(docs.where("project = 'src3'"))
+    index.add(docs.where("lang = 'de'").withColumn("text", F.concat_ws(" ", "text", F.lit("Forest clown by the river"))))
+    index.remove(docs.where("source = 'src3'"))
     return index
 
 
