@@ -98,10 +98,18 @@ def report(figures: DataFrame, base: str, app: str) -> DataFrame:
 
 
 def provenance(assets: DataFrame, log: DataFrame, public_ids: DataFrame) -> DataFrame:
-    """For each asked public_id: its asset (found or not), folder, and the number of derived files in the log."""
-    derived = log.groupBy("public_id").agg(F.count("*").alias("derived"))
+    """For each asked public_id: its asset (found or not), folder, and the number and list of derived files in the log.
+
+    ``transformations`` has what the log says of each of them, its columns beside public_id, in their order; none is an
+    empty list.
+    """
+    said = F.struct(*[c for c in log.columns if c != "public_id"]) if len(log.columns) > 1 else F.struct("public_id")
+    listed = F.array_sort(F.collect_list(said)).alias("transformations")
+    derived = log.groupBy("public_id").agg(F.count("*").alias("derived"), listed)
+    nothing = F.array().cast(derived.schema["transformations"].dataType)
     found = public_ids.join(assets.select("public_id", "esg_project_id", "c2pa_provenance"), "public_id", "left").join(derived, "public_id", "left")
     return found.select(
         "public_id", parent_folder(F.col("public_id")).alias("folder"), "esg_project_id", "c2pa_provenance", F.coalesce("derived", F.lit(0)).alias("derived"),
+        F.coalesce("transformations", nothing).alias("transformations"),
         F.when(F.col("esg_project_id").isNull(), "NOT_FOUND").otherwise("OK").alias("status"),
     )

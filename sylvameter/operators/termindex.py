@@ -26,7 +26,7 @@ from pyspark.sql.types import StructType
 
 from sylvameter.functions import text as text_functions
 from sylvameter.operators.search import EXCERPT, MOST_TERMS, narrowed, top
-from sylvameter.session import shared_path
+from sylvameter.session import exists, shared_path
 
 _SCHEMAS = {
     "postings": "doc_id long, term string, tf long, generation long, bucket int",
@@ -61,8 +61,7 @@ class TermIndex:
 
     def state(self) -> State:
         """What is committed; one small row for each change since the index was last written whole."""
-        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/commits")
-        if not place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        if not exists(self.spark, f"{self.folder}/commits"):
             return State()
         rows = sorted(self.spark.read.schema(_COMMITS).parquet(f"{self.folder}/commits").collect())
         since = max((r.generation for r in rows if r.whole), default=0)

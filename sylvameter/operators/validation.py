@@ -68,8 +68,8 @@ def unknown_fields(payload: Column, rules: Sequence[Rule] = METADATA) -> Column:
 
 
 def safe_public_id(value: Column) -> Column:
-    """Whether a public id has no leading slash, no way up, and 1 to 255 plain characters."""
-    return value.rlike(r"^[A-Za-z0-9_][A-Za-z0-9_./-]{0,254}$") & ~value.contains("..")
+    """Whether a public id has no leading slash, and 1 to 255 letters, digits, slashes, hyphens and underscores."""
+    return value.rlike(r"\A[A-Za-z0-9_][A-Za-z0-9_/-]{0,254}\z")
 
 
 def safe_overlay_text(value: Column) -> Column:
@@ -77,6 +77,11 @@ def safe_overlay_text(value: Column) -> Column:
     return (F.length(value) <= 240) & ~value.rlike(r"[\x00-\x1F\x7F\\/]")
 
 
+def safe_component(value: Column) -> Column:
+    """Whether a structural value of a delivery address (gravity, colour, font, style) keeps to its plain alphabet."""
+    return value.rlike(r"\A[A-Za-z0-9_:,.-]+\z")
+
+
 def bootstrap(wanted: DataFrame, existing: DataFrame, key: str = "name", digest: str = "digest") -> DataFrame:
     """(name, action): created, updated or unchanged for each wanted field, extra for fields that only exist."""
     joined = wanted.select(key, F.col(digest).alias("w")).join(existing.select(key, F.col(digest).alias("e")), key, "full_outer")

@@ -69,8 +69,10 @@ def test_validation(spark):
     bad = df.limit(1).withColumn("esg_project_id", F.lit("nope")).withColumn("canopy_delta_pct", F.lit(900.0)).withColumn("capture_timestamp", F.lit("yesterday"))
     row = validation.validate(bad).first()
     assert row.first_problem == "esg_project_id:pattern" and row.problems == ["esg_project_id:pattern", "capture_timestamp:date", "canopy_delta_pct:too_high"]
-    one = spark.range(1).select(*[validation.safe_public_id(F.lit(x)).alias(str(i)) for i, x in enumerate(("a/b-c.d", "/a", "a/../b", "a b"))]).first()
-    assert list(one) == [True, False, False, False]
+    one = spark.range(1).select(*[validation.safe_public_id(F.lit(x)).alias(str(i)) for i, x in enumerate(("a/b-c_d", "a.b", "/a", "a/../b", "a b", "a\n", "", "x" * 255, "x" * 256))]).first()
+    assert list(one) == [True, False, False, False, False, False, False, True, False]
+    parts = ("north_east", "Arial:bold", "co_rgb.1,x-2", "a/b", "a b", "")
+    assert [r for r in spark.range(1).select(*[validation.safe_component(F.lit(x)).alias(str(i)) for i, x in enumerate(parts)]).first()] == [True, True, True, False, False, False]
     keys = spark.range(1).select(validation.unknown_fields(F.create_map(F.lit("x"), F.lit(1), F.lit("milestone_phase"), F.lit(2)))).first()[0]
     assert keys == ["x"] and len(validation.schema_digest()) == 16
 
