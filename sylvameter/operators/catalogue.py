@@ -106,7 +106,7 @@ def stride(df: DataFrame, number: str, every: int, phase: int = 0) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, value: str, quantiles: Sequence[float], *groups: str) -> DataFrame:
-    """Nearest-rank percentiles: the value at place round(q * n) (at least 1) in rising order, by group.
+    """Nearest-rank percentiles: the value at place round(q * n) (half to even, at least 1) in rising order, by group.
 
     Values are counted before they are ranked, so equal values meet once; the running sum is by group.
     """
@@ -115,7 +115,7 @@ def nearest_rank(df: DataFrame, value: str, quantiles: Sequence[float], *groups:
     total = Window.partitionBy(*groups)
     ranked = counts.withColumn("upto", F.sum("n").over(rising)).withColumn("all", F.sum("n").over(total))
     def at(q: float) -> Column:
-        place = F.greatest(F.floor(F.lit(q) * F.col("all") + 0.5), F.lit(1))
+        place = F.greatest(F.bround(F.lit(q) * F.col("all"), 0), F.lit(1.0))
         return F.min(F.when(F.col("upto") >= place, F.col(value))).alias(f"p{round(q * 100)}")
 
     return ranked.groupBy(*groups).agg(*[at(q) for q in quantiles])

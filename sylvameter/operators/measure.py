@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,3 +125,48 @@ def register_pairs(points: DataFrame) -> DataFrame:
 
     ship(points.sparkSession)
     return points.groupBy("pair_id").applyInPandas(run, schema)
+
+
+_MEASURED = (
+    "status string, error string, phash string, noise double, fft_peak double, moire double, cover double, canopy_status string, change_pct double, "
+    "gain_status string, registration string, inlier_ratio double, trust string"
+)
+
+
+def measure_assets(rows: DataFrame) -> DataFrame:
+    """Every image stage of the bulk run in one pass over ``rows`` (asset_id, height, width, data, before, points).
+
+    The hash, the forgery signals and the canopy of ``data`` (RGB bytes); with ``before``, an image of the same size, the
+    change of the canopy after gains; with ``points`` (array of sx, sy, dx, dy, ratio) the registration. A stage without
+    its input has nulls, an image that cannot be read is REJECTED with the reason, and no row fails the job.
+    """
+    names = [c.split()[0] for c in _MEASURED.split(", ")]
+
+    def one(row) -> dict:
+        rgb = _pixels(row.data, row.height, row.width)
+        if not pd.isna(row.height) and not pd.isna(row.width) and row.height * row.width > MOST_PIXELS:
+            return {"status": "REJECTED", "error": "too many pixels"}
+        if rgb is None or min(rgb.shape[:2]) < 3:
+            return {"status": "REJECTED", "error": "no readable pixels"}
+        mask = imaging.canopy_mask(rgb)
+        out = {"status": "INGESTED", "phash": imaging.perceptual_hash(rgb), "cover": float(mask[0].mean()) if mask else 0.0} | imaging.forgery_signals(rgb)
+        before = _pixels(row.before, row.height, row.width)
+        if before is not None:
+            gains = imaging.radiometric_gains(before, rgb)
+            change = imaging.canopy_change(before, imaging.apply_gains(rgb, gains["gains"]) if gains["status"] == "OK" else rgb)
+            out |= {"gain_status": gains["status"], "canopy_status": change["status"], "change_pct": change["change_pct"]}
+        if row.points is not None and len(row.points):
+            p = np.array([[x[k] for k in ("sx", "sy", "dx", "dy", "ratio")] for x in row.points], float)
+            found = geometry.register(p[:, :2], p[:, 2:4], p[:, 4], zlib.crc32(str(row.asset_id).encode()))
+            out |= {"registration": found["status"], "inlier_ratio": found["inlier_ratio"], "trust": found["trust"]}
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = _frame([one(row) for row in pdf.itertuples(index=False)], names)
+            found.insert(0, "asset_id", pdf["asset_id"].to_numpy())
+            yield found
+
+    ship(rows.sparkSession)
+    kind = rows.schema["asset_id"].dataType.simpleString()
+    return rows.select("asset_id", "height", "width", "data", "before", "points").mapInPandas(run, f"asset_id {kind}, {_MEASURED}")

@@ -202,8 +202,8 @@ FROM orders JOIN customer ON o_custkey = c_custkey""",
     "stride_selection": "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'fault' ELSE 'low_sun' END AS intervention FROM events WHERE event_id % 10 IN (0, 5)",
     "percentile_nearest_rank": """
 WITH r AS (SELECT l_returnflag, l_extendedprice AS v, row_number() OVER w AS k, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_extendedprice))
-SELECT l_returnflag, max(v) FILTER (k = greatest(floor(0.5e0 * n + 0.5e0), 1)) AS p50, max(v) FILTER (k = greatest(floor(0.95e0 * n + 0.5e0), 1)) AS p95,
-       max(v) FILTER (k = greatest(floor(0.99e0 * n + 0.5e0), 1)) AS p99 FROM r GROUP BY 1""",
+SELECT l_returnflag, max(v) FILTER (k = greatest(round_even(0.5e0 * n, 0), 1)) AS p50, max(v) FILTER (k = greatest(round_even(0.95e0 * n, 0), 1)) AS p95,
+       max(v) FILTER (k = greatest(round_even(0.99e0 * n, 0), 1)) AS p99 FROM r GROUP BY 1""",
     "epoch_assignment": f"WITH {_PLACED} SELECT CASE WHEN dist <= 2 THEN epoch ELSE 'UNPLACED' END AS epoch, count(*) AS n, count(DISTINCT project) AS projects FROM placed GROUP BY 1",
     "epoch_coverage": f"WITH {_PLACED} SELECT project, epoch, nominal, observed, verified, quarantined, round(mean_measure, 4) AS mean_measure, first_day, last_day, status FROM judged",
     "epoch_gaps": f"WITH {_PLACED} SELECT project, epoch, nominal, observed, shortfall::BIGINT AS shortfall, status FROM judged WHERE status <> 'FULL'",

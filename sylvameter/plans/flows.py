@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvameter.operators import dedup, intervals, leastsquares, similarity
+from sylvameter.operators import batch, dedup, intervals, leastsquares, similarity
 from sylvameter.plans import evidence, search
+from sylvameter.session import spread
+from sylvameter.sources import scenes
 from sylvameter.sources.tables import table
 from sylvameter.streaming import notifications
 
@@ -87,7 +89,35 @@ def most_similar(spark: SparkSession, d: str) -> DataFrame:
     return similarity.most_similar(search._docs(spark, d), k=5).select("doc_id", "rank", "other_id", F.round("score", 6).alias("score"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (handler_results, first_cues, phash_append, affine_two_axes, similar_documents, most_similar)}
+_SIDE = 64  # columns of a scene
+
+
+def _bulk(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as assets with an image before and after; a tenth with a turned shadow, a tenth at low sun, some broken."""
+    number = F.col("s_suppkey")
+    rows = spread(table(spark, d, "supplier").select(
+        number.cast("string").alias("asset_id"), number.alias("number"), F.lit("2026-09-22").alias("capture_timestamp"),
+        (F.col("s_nationkey") % 21 - 10).cast("double").alias("latitude"), (F.col("s_nationkey") * 14 - 170).cast("double").alias("longitude"),
+        F.when(number % 3 == 0, "C2PA_VERIFIED").otherwise("C2PA_MISSING").alias("c2pa_provenance"), number.alias("seed"),
+        F.when(number % 23 == 1, -1).otherwise(12 + number % 41).alias("green"), (14 + number % 29).alias("green_before"),
+    ))
+    images = scenes.render(rows, 48, _SIDE)
+    points = rows.select("asset_id", scenes.correspondences(F.col("number")).alias("points"))
+    return batch.bulk(rows, images.join(points, "asset_id"), "number")
+
+
+def bulk_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """The bulk run over suppliers as assets: verdicts, contradictions, broken images, natural images, trusted pairs."""
+    return batch.report(_bulk(spark, d))
+
+
+def bulk_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Exact percentiles of what the stages of the bulk run measured."""
+    done = _bulk(spark, d).withColumns({c: F.round(c, 6) for c in ("angular_error", "cover", "change_pct", "inlier_ratio")})
+    return batch.percentiles(done, ("angular_error", "confidence", "cover", "change_pct", "inlier_ratio"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (handler_results, first_cues, phash_append, affine_two_axes, similar_documents, most_similar, bulk_verdicts, bulk_percentiles)}
 
 _ALIKE = f"""
 {search._INDEX},
@@ -95,7 +125,26 @@ unit AS (SELECT doc_id, term, w FROM vec),
 alike AS (SELECT a.doc_id, b.doc_id AS other_id, sum(a.w * b.w) AS score FROM unit a JOIN unit b ON a.term = b.term AND a.doc_id <> b.doc_id GROUP BY ALL HAVING sum(a.w * b.w) >= 0.8 - 1e-9),
 texts AS (SELECT doc_id, string_agg(term || ' ' || tf, ' ' ORDER BY term) AS bag FROM counts GROUP BY 1)"""
 
+_RUN = """
+b AS (
+  SELECT s_suppkey AS i, CASE s_suppkey % 10 WHEN 0 THEN 'QUARANTINE_SOLAR_MISMATCH' WHEN 5 THEN 'REVIEW_LOW_SUN_UNDETERMINED' ELSE 'PHYSICS_PASS' END AS verdict,
+         s_suppkey % 23 = 1 AS broken, (12 + s_suppkey % 41)::DOUBLE AS green, (14 + s_suppkey % 29)::DOUBLE AS before FROM supplier
+)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "bulk_verdicts": f"""
+WITH {_RUN} SELECT verdict, count(*) AS n, count(*) FILTER (i % 10 = 0 AND i % 3 = 0) AS contradictions, count(*) FILTER (broken) AS rejected,
+  count(*) FILTER (NOT broken) AS natural, count(*) FILTER (NOT broken) AS trusted FROM b GROUP BY 1""",
+    "bulk_percentiles": f"""
+WITH {_RUN}, m AS (
+  SELECT 'angular_error' AS metric, CASE WHEN i % 10 = 0 THEN 90e0 ELSE 0e0 END AS v FROM b
+  UNION ALL SELECT 'confidence', CASE i % 10 WHEN 0 THEN 96e0 WHEN 5 THEN 62e0 ELSE 98e0 END FROM b
+  UNION ALL SELECT 'cover', round(green / {_SIDE}, 6) FROM b WHERE NOT broken
+  UNION ALL SELECT 'change_pct', round((green - before) / before * 100, 6) FROM b WHERE NOT broken
+  UNION ALL SELECT 'inlier_ratio', round(30 / 36e0, 6) FROM b WHERE NOT broken
+), r AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY v) AS k, count(*) OVER (PARTITION BY metric) AS n FROM m)
+SELECT metric, max(n) AS n, max(v) FILTER (k = greatest(round_even(0.5e0 * n, 0), 1)) AS p50, max(v) FILTER (k = greatest(round_even(0.95e0 * n, 0), 1)) AS p95,
+  max(v) FILTER (k = greatest(round_even(0.99e0 * n, 0), 1)) AS p99, min(v) AS least, max(v) AS most FROM r GROUP BY 1""",
     "handler_results": """
 WITH e AS (
   SELECT ts, event_id, event_type, round(value, 2) AS v, CAST(json_extract(props, '$.k') AS BIGINT) AS k, user_id || ':' || CAST(json_extract(props, '$.k') AS BIGINT) AS key FROM events

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sylvameter.functions import diagnostics, geometry
-from sylvameter.operators import leastsquares, matching, search, similarity
+from sylvameter.operators import batch, leastsquares, matching, search, similarity
+from sylvameter.sources import scenes
 
 
 def _alike(texts, threshold):
@@ -97,3 +98,43 @@ def test_histograms_match_by_counts(spark):
     rows += [(7, True, 1), (8, False, 2)]
     got = matching.match_histograms(spark.createDataFrame(rows, "g long, source boolean, v long"), "g").collect()
     assert {(r.g, r.v): r.matched for r in got} == want
+
+
+def test_percentiles_by_every_rule(spark):
+    rng = np.random.default_rng(12)
+    values = {"a": [float(x) for x in rng.integers(0, 9, 25)], "b": [float(x) for x in rng.normal(size=25)]}
+    rows = [(g, *v) for g, n in (("x", 25), ("y", 5)) for v in list(zip(values["a"], values["b"], strict=True))[:n]] + [("x", None, None), ("z", None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, a double, b double")
+    rules = {
+        "nearest": lambda q, n: min(n - 1, max(0, round(q * n) - 1)), "above": lambda q, n: min(n - 1, int(q * n)),
+        "whole": lambda q, n: min(n, max(1, -(-int(round(q * 100, 6) * n) // 100))) - 1,
+    }
+    quantiles = (0.5, 0.9, 0.95, 0.99)
+    for rule, place in rules.items():
+        got = {(r.g, r.metric): tuple(r)[2:] for r in batch.percentiles(df, ("a", "b"), quantiles, rule, "g").collect()}
+        want = {}
+        for g in "xyz":
+            for i, m in enumerate("ab"):
+                own = sorted(r[i + 1] for r in rows if r[0] == g and r[i + 1] is not None)
+                if own:
+                    want[g, m] = (len(own), *[own[place(q, len(own))] for q in quantiles], own[0], own[-1])
+        assert got == want, rule
+
+
+def test_bulk_run_with_odd_images(spark):
+    """Broken, huge, missing and unregistered inputs are rows with a reason, and the counts add up."""
+    good = scenes.scene(1, 48, 64, 30).tobytes()
+    points = [(float(x), float(y), float(x + 2), float(y + 1), 0.5) for x in range(0, 120, 20) for y in range(0, 120, 20)]
+    images = [
+        ("0", 48, 64, good, good, points), ("1", 48, 64, b"x", None, None), ("2", 48, None, good, None, None), ("3", 100_000, 100_000, good, None, None), ("4", None, None, None, None, None),
+        ("5", 48, 64, good, None, points[:3]), ("6", 48, 64, good, b"short", []), ("9", 48, 64, good, None, None),
+    ]
+    df = spark.createDataFrame(images, "asset_id string, height int, width int, data binary, before binary, points array<struct<sx:double,sy:double,dx:double,dy:double,ratio:double>>")
+    assets = spark.createDataFrame([(str(i), i, "2026-09-22", 1.0, 2.0, "C2PA_VERIFIED") for i in range(9)], "asset_id string, number int, capture_timestamp string, latitude double, longitude double, c2pa_provenance string")
+    rows = {r.asset_id: r for r in batch.bulk(assets, df, "number").collect()}
+    assert set(rows) == {str(i) for i in range(9)}
+    assert (rows["0"].status, rows["0"].change_pct, rows["0"].registration, rows["0"].trust, rows["0"].forgery) == ("INGESTED", 0.0, "OK", "trusted", "REVIEW_REPLAY" if rows["0"].moire > 4.2 else "NATURAL")
+    assert [rows[i].error for i in "1234"] == ["no readable pixels", "no readable pixels", "too many pixels", "no readable pixels"]
+    assert rows["5"].registration == "TOO_FEW_POINTS" and rows["5"].change_pct is None and rows["6"].canopy_status is None and rows["7"].status is None and rows["7"].verdict
+    report = batch.report(batch.bulk(assets, df, "number")).collect()
+    assert sum(r.n for r in report) == 9 and sum(r.rejected for r in report) == 4 and sum(r.trusted for r in report) == 1
