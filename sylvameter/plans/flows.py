@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvameter.operators import batch, dedup, intervals, leastsquares, similarity
+from sylvameter.operators import batch, dedup, golden, intervals, leastsquares, similarity
 from sylvameter.plans import evidence, search
 from sylvameter.session import spread
 from sylvameter.sources import scenes
@@ -117,7 +117,51 @@ def bulk_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return batch.percentiles(done, ("angular_error", "confidence", "cover", "change_pct", "inlier_ratio"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (handler_results, first_cues, phash_append, affine_two_axes, similar_documents, most_similar, bulk_verdicts, bulk_percentiles)}
+_DAY = "2026-06-21"
+
+
+def _places(spark: SparkSession, d: str) -> DataFrame:
+    """The distinct places of the events' users."""
+    u = F.col("user_id")
+    rows = table(spark, d, "events").select((u % 120 - 60).cast("double").alias("latitude"), (u * 7 % 360 - 180).cast("double").alias("longitude"))
+    return rows.distinct().withColumn("place", F.concat_ws("/", F.col("latitude").cast("int").cast("string"), F.col("longitude").cast("int").cast("string")))
+
+
+def _minute() -> Column:
+    return (F.floor(F.unix_seconds("ts") % 86_400 / 60)).cast("long").alias("minute")
+
+
+def golden_instants(spark: SparkSession, d: str) -> DataFrame:
+    """For every place the instants of the highest sun and of a sun five degrees up, morning and evening."""
+    places = _places(spark, d)
+    found = [golden.noon(places, _DAY).withColumn("kind", F.lit("noon"))]
+    found += [golden.at_height(places, _DAY, 5.0, late).withColumn("kind", F.lit("evening" if late else "first")) for late in (False, True)]
+    rows = found[0].unionByName(found[1]).unionByName(found[2])
+    return rows.select("place", "kind", _minute(), F.round("sun_elevation", 3).alias("sun_elevation"))
+
+
+def golden_divergence(spark: SparkSession, d: str) -> DataFrame:
+    """For every place and the one mirrored in latitude, when their shadows differ most."""
+    pairs = _places(spark, d).select(
+        F.col("place").alias("pair"), F.col("latitude").alias("true_latitude"), F.col("longitude").alias("true_longitude"),
+        (-F.col("latitude") / 2 + 3).alias("latitude"), (F.col("longitude") + 11).alias("longitude"),
+    )
+    return golden.most_divergent(pairs, _DAY).select("pair", _minute(), F.round("divergence", 3).alias("divergence"))
+
+
+def golden_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Genuine captures at noon, wrong clocks and abstentions of every place: how many are golden, by kind and verdict."""
+    places = _places(spark, d)
+    high = golden.noon(places, _DAY).where(F.col("sun_elevation") >= 30).join(places, "place").withColumnRenamed("place", "scenario_id")
+    hours = lambda n: F.timestamp_seconds(F.unix_seconds("ts") + n * 3600)
+    low = golden.at_height(places, _DAY).join(places, "place").withColumnRenamed("place", "scenario_id")
+    down = high.withColumn("ts", hours(12))
+    made = golden.genuine(high).unionByName(golden.wrong_clock(high.withColumn("true_ts", hours(-2)).withColumn("ts", hours(2))))
+    rows = golden.judged(made.unionByName(golden.abstain(low)).unionByName(golden.abstain(down)))
+    return rows.groupBy("kind", "verdict").agg(F.count("*").alias("n"), F.count_if(F.size("problems") == 0).alias("golden"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (handler_results, first_cues, phash_append, affine_two_axes, similar_documents, most_similar, bulk_verdicts, bulk_percentiles, golden_instants, golden_divergence, golden_vectors)}
 
 _ALIKE = f"""
 {search._INDEX},
@@ -131,7 +175,29 @@ b AS (
          s_suppkey % 23 = 1 AS broken, (12 + s_suppkey % 41)::DOUBLE AS green, (14 + s_suppkey % 29)::DOUBLE AS before FROM supplier
 )"""
 
+_STEPS = evidence._SUN[evidence._SUN.index("s1 AS") :]
+_PLACES = """
+p AS (SELECT DISTINCT (user_id % 120 - 60)::DOUBLE AS lat, (user_id * 7 % 360 - 180)::DOUBLE AS lon FROM events),
+n AS (SELECT *, lat::INTEGER || '/' || lon::INTEGER AS place FROM p),
+m AS (SELECT (i * 5)::BIGINT AS minute, epoch_us(TIMESTAMP '2026-06-21') + i * 300000000 AS us0 FROM range(288) t(i))"""
+
+
+def _scan(rows: str) -> str:
+    """The sun of ``rows`` (place, lat, lon) at every five minutes of the day, as the table ``scan``."""
+    return f"""c AS (SELECT r.*, m.minute, m.us0::DOUBLE AS us, NULL::DOUBLE AS observed FROM ({rows}) r, m), {_STEPS}, scan AS (SELECT * FROM sun)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "golden_instants": f"""
+WITH {_PLACES}, {_scan("SELECT place, lat, lon FROM n")}, up AS (SELECT * FROM scan WHERE el >= 5)
+SELECT place, 'noon' AS kind, arg_max(minute, (el, -minute)) AS minute, round(max(el), 3) AS sun_elevation FROM scan GROUP BY 1
+UNION ALL SELECT place, 'first', arg_min(minute, (el, minute)), round(min(el), 3) FROM up GROUP BY 1
+UNION ALL SELECT place, 'evening', arg_min(minute, (CASE WHEN minute > 720 THEN 0 ELSE 1 END, el, minute)), round(arg_min(el, (CASE WHEN minute > 720 THEN 0 ELSE 1 END, el, minute)), 3) FROM up GROUP BY 1""",
+    "golden_divergence": f"""
+WITH {_PLACES}, {_scan("SELECT place, lat, lon, 'true' AS side FROM n UNION ALL SELECT place, -lat / 2 + 3, lon + 11, 'claimed' FROM n")},
+d AS (SELECT a.place AS pair, a.minute, abs(a.az - b.az) AS x FROM scan a JOIN scan b ON a.place = b.place AND a.minute = b.minute AND a.side = 'true' AND b.side = 'claimed' AND a.el >= 10 AND b.el >= 10),
+e AS (SELECT pair, minute, least(x, 360 - x) AS v FROM d)
+SELECT pair, arg_max(minute, (round(v, 9), -minute)) AS minute, round(max(v), 3) AS divergence FROM e GROUP BY 1""",
     "bulk_verdicts": f"""
 WITH {_RUN} SELECT verdict, count(*) AS n, count(*) FILTER (i % 10 = 0 AND i % 3 = 0) AS contradictions, count(*) FILTER (broken) AS rejected,
   count(*) FILTER (NOT broken) AS natural, count(*) FILTER (NOT broken) AS trusted FROM b GROUP BY 1""",
