@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylvameter.llm.common import slices
+from sylvameter.session import materialise
 
 _WORD = re.compile(r"[^\W_]+")
 WORDS = 5
@@ -79,10 +80,17 @@ class Item:
 
     def containment(self, words: list[str]) -> float:
         """The share of the item's shingles that the whole document has."""
-        held = {" ".join(words[i : i + self.size]) for i in range(len(words) - self.size + 1)}
+        return self.share(_joined(words, self.size))
+
+    def share(self, held: set[str]) -> float:
+        """As ``containment``, from the document's shingles of the item's size."""
         return len(self.shingles & held) / len(self.shingles)
 
 
+def _joined(words: list[str], n: int) -> set[str]:
+    return {" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}
+
+
 class Index:
     """MinHash values of items by size class, and exact hashes of items that are shorter than a shingle."""
 
@@ -148,18 +156,20 @@ class Index:
         words = words_of(text)
         if not words:
             return []
-        found = [(self.items[i], self.items[i].containment(words)) for i in sorted(self.candidates(_word_hashes(words)))]
+        near = [self.items[i] for i in sorted(self.candidates(_word_hashes(words)))]
+        held = {n: _joined(words, n) for n in {item.size for item in near}}
+        found = [(item, item.share(held[item.size])) for item in near]
         return [(item.item_id, share, len(item.shingles)) for item, share in found if share >= least]
 
 
-def _blocks(benchmark: DataFrame, most_items: int, most_bytes: int) -> Iterator[Index]:
-    """Indexes over at most about ``most_items`` items and ``most_bytes`` bytes of text each."""
+def _blocks(benchmark: DataFrame, most_items: int, most_bytes: int) -> Iterator[tuple[Index, bool]]:
+    """Indexes over at most about ``most_items`` items and ``most_bytes`` bytes of text each, and whether there are several."""
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     n = max(-(-size[0] // most_items), -(-size[1] // most_bytes))
     for i in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()
-        yield Index([(r["item_id"], r["text"]) for r in rows])
+        yield Index([(r["item_id"], r["text"]) for r in rows]), n > 1
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, most_items: int = 20_000, most_bytes: int = 16 << 20) -> DataFrame:
@@ -169,13 +179,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, most
     all its words; one without words is in no document, and a null or empty document has no item. Repeated rows of
     either side give repeated rows, texts of any length are searched whole, other columns are ignored. Empty tables give
     no rows. An index goes to the driver and, broadcast, to executors; its texts take about ``most_bytes`` (a longer item
-    is a block of its own), and with what is built from them some ten times that.
+    is a block of its own), and with what is built from them some ten times that. Of several indexes one is there at a
+    time: what it finds is written before the next is built.
     """
     schema = "doc_id long, item_id long, containment double, n_shingles long"
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     spark = docs.sparkSession
     result = spark.createDataFrame([], schema)
-    for index in _blocks(benchmark, most_items, most_bytes):
+    for index, several in _blocks(benchmark, most_items, most_bytes):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -188,7 +199,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, most
                     [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "containment", "n_shingles"]
                 )
 
-        result = result.unionByName(narrow.mapInArrow(run, schema))
+        found = narrow.mapInArrow(run, schema)
+        if several:
+            found = materialise(found)
+            shared.destroy()
+        result = result.unionByName(found)
     return result
 
 
@@ -196,7 +211,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, m
     """The rows of ``docs``, all columns of any name, that contain no item of ``benchmark``; else as ``find_leaks``."""
     spark = docs.sparkSession
     place = docs.columns.index("text")
-    for index in _blocks(benchmark, most_items, most_bytes):
+    for index, several in _blocks(benchmark, most_items, most_bytes):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -205,6 +220,9 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, m
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if several:
+            docs = materialise(docs)
+            shared.destroy()
     return docs
 
 
