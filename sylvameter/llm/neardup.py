@@ -10,10 +10,10 @@ a pair of similarity 0.8 misses all of 20 bands of 5 with a chance of 4 in 10,00
 
 Buckets are never paired off whole. First each node meets the least of its bucket, which is linear and joins a group
 of any size. In a bucket that still has several components, sketches tell which nodes are near to another component. These are
-searched in the bucket's task with their shingles at hand: the centre against all others, then each node against the
-other components, nearest sketches first, until one of the component is similar. What leaves the task is at most one
-link for each node. A pair is looked at in its first common bucket alone, and a large bucket has its questions dealt to
-several tasks.
+searched in the bucket's task with their shingles at hand: the centre against all others, then each node outside of the
+bucket's main component against the other components, nearest sketches first, until one of the component is similar.
+What leaves the task is at most one link for each node. A pair is looked at in its first common bucket alone, and where
+many nodes ask their questions are dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -184,14 +184,15 @@ def links_across(
 
 
 def _by_bucket(rows: DataFrame, large: int, search: Callable[[list[tuple], np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
-    """What ``search`` makes of the rows of each bucket, and of which of them ask; a large bucket goes to several tasks.
+    """What ``search`` makes of the rows of each bucket, and of which of them ask; many questions go to several tasks.
 
-    ``rows`` has bucket, n (its rows, or more), node and other columns. One bucket, or part of one, is held at a time.
+    ``rows`` has bucket, outside (of the bucket's main component: these ask), n (how many do), node and other columns.
+    One bucket is held at a time.
     """
-    parts = F.ceil(F.col("n") / large).cast("int")
+    parts = F.greatest(F.ceil(F.col("n") / large), F.lit(1)).cast("int")
     dealt = rows.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    asks = F.pmod(F.xxhash64("node"), F.col("parts")) == F.col("part")
-    others = [c for c in rows.columns if c not in ("bucket", "n")]
+    asks = F.col("outside") & (F.pmod(F.xxhash64("node"), F.col("parts")) == F.col("part"))
+    others = [c for c in rows.columns if c not in ("bucket", "n", "outside")]
     dealt = dealt.select(F.xxhash64("bucket", "part").alias("key"), asks.alias("asks"), "bucket", *others)
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -217,9 +218,10 @@ def _matrices(members: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def _across(rows: DataFrame, shingles_of: Callable[[DataFrame], DataFrame], least: float, large: int) -> DataFrame:
-    """Links (a, b) across components of one bucket, of rows (bucket, n, node, component, sketch, buckets).
+    """Links (a, b) across components of one bucket, of rows (bucket, n, outside, node, component, sketch, buckets).
 
-    Sketches tell which nodes are in question; only their shingles (``shingles_of`` nodes) go to the buckets.
+    Sketches tell which nodes are in question; only their shingles (``shingles_of`` nodes) go to the buckets. Of two
+    nodes of different components one at least is outside of the bucket's main component, so those alone ask.
     """
 
     def questions(members: list[tuple], asks: np.ndarray) -> pa.RecordBatch:
@@ -234,10 +236,9 @@ def _across(rows: DataFrame, shingles_of: Callable[[DataFrame], DataFrame], leas
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     asked = materialise(_by_bucket(rows, large, questions, "bucket long, node long").distinct())
-    n = asked.groupBy("bucket").agg(F.count("*").alias("n"))
-    few = rows.drop("n").join(own_exchange(asked, "bucket", "node"), ["bucket", "node"], "left_semi").join(own_exchange(n, "bucket"), "bucket")
+    few = rows.join(own_exchange(asked, "bucket", "node"), ["bucket", "node"], "left_semi")
     few = few.join(own_exchange(shingles_of(asked.select("node")), "node"), "node")
-    return _by_bucket(few.select("bucket", "n", "node", "component", "sketch", "buckets", "shingles"), large, links, "a long, b long")
+    return _by_bucket(few.select("bucket", "n", "outside", "node", "component", "sketch", "buckets", "shingles"), large, links, "a long, b long")
 
 
 def representatives(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 3, large: int = 1024) -> DataFrame:
@@ -277,10 +278,12 @@ def representatives(docs: DataFrame, words: int = 5, least: float = 0.8, radius:
     links = links.unionByName(verified(pairs))
     roots = materialise(connected_components(links))
     known = component(members.select("bucket", "n", "node"))
-    mixed = known.where("n > 2").groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    left = known.join(own_exchange(mixed.select("bucket"), "bucket"), "bucket", "left_semi")
+    sizes = known.where("n > 2").groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    main = F.max_by("component", F.struct("size", "component")).alias("main")
+    mixed = sizes.groupBy("bucket").agg(main, (F.sum("size") - F.max("size")).alias("n")).where("n > 0")
+    left = known.drop("n").join(own_exchange(mixed, "bucket"), "bucket").withColumn("outside", F.col("component") != F.col("main"))
     left = left.join(own_exchange(spoken.select("node", "sketch", "buckets"), "node"), "node")
-    left = materialise(left.select("bucket", "n", "node", "component", "sketch", "buckets"))
+    left = materialise(left.select("bucket", "n", "outside", "node", "component", "sketch", "buckets"))
     late = materialise(_across(left, lambda wanted: _shingles(texts(wanted), words), least, large))
     if not late.isEmpty():
         roots = connected_components(links.unionByName(late))

@@ -63,3 +63,26 @@ def test_every_row_counts_by_itself(spark, data):
     got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, df, data).collect()), key=repr)
     assert got == sorted([(None, text[0]), (7, text[1]), (7, text[2]), (8, text[3]), (None, text[4]), (3, " \n")], key=repr)
     assert neardup.representatives(df.limit(0)).count() == 0
+
+
+def test_nodes_of_the_main_component_do_not_ask(spark):
+    """One bucket with a large component and a few others: as many rows as it has, and all links across are found."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, 100).astype(np.uint8)
+    rows = [(i, base.tobytes(), 1 if i < 300 else i) for i in range(310)]
+    schema = "bucket long, outside boolean, n long, node long, component long, sketch binary, buckets array<long>"
+    df = spark.createDataFrame([(5, c != 1, 10, i, c, bytearray(s), [5]) for i, s, c in rows], schema)
+    dealt = []
+
+    def search(members, asks):
+        import pyarrow as pa
+
+        return pa.RecordBatch.from_arrays([pa.array([len(members)]), pa.array([int(asks.sum())])], ["n", "asks"])
+
+    dealt = [(r.n, r.asks) for r in neardup._by_bucket(df, 4, search, "n long, asks long").collect()]
+    assert len(dealt) == 3 and all(n == 310 for n, _ in dealt) and sum(a for _, a in dealt) == 10
+    texts = spark.createDataFrame([(i, "a b c d e f g") for i in range(310)], "node long, text string")
+    found = neardup._across(df, lambda wanted: neardup._shingles(texts.join(wanted, "node"), 5), 0.8, 4).collect()
+    assert {i for r in found for i in (r.a, r.b) if i >= 300} == set(range(300, 310))
