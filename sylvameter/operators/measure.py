@@ -110,6 +110,28 @@ def measure_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, schema)
 
 
+def measure_gains(pairs: DataFrame) -> DataFrame:
+    """(pair_id, status, gains, spread) of image pairs (pair_id, height, width, before, after: RGB bytes of one size).
+
+    Gains bring ``after`` to ``before`` by the medians of what does not change; without readable pixels the status is
+    SHAPE_MISMATCH.
+    """
+    kind = pairs.schema["pair_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for row in pdf.itertuples(index=False):
+                a, b = (_pixels(x, row.height, row.width) for x in (row.before, row.after))
+                found.append({"status": "SHAPE_MISMATCH"} if a is None or b is None else imaging.radiometric_gains(a, b))
+            out = _frame(found, ["status", "gains", "spread"])
+            out.insert(0, "pair_id", pdf["pair_id"].to_numpy())
+            yield out
+
+    ship(pairs.sparkSession)
+    return pairs.select("pair_id", "height", "width", "before", "after").mapInPandas(run, f"pair_id {kind}, status string, gains array<double>, spread double")
+
+
 def register_pairs(points: DataFrame) -> DataFrame:
     """Alignments of correspondences (pair_id, sx, sy, dx, dy, ratio), one group for each pair; the seed is the pair's."""
     schema = (

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvameter.operators import batch, dedup, golden, intervals, leastsquares, similarity
+from sylvameter.operators import batch, dedup, golden, intervals, leastsquares, measure, nlquery, similarity
+from sylvameter.operators import search as ranking
 from sylvameter.plans import evidence, search
 from sylvameter.session import spread
 from sylvameter.sources import scenes
@@ -161,7 +162,39 @@ def golden_vectors(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("kind", "verdict").agg(F.count("*").alias("n"), F.count_if(F.size("problems") == 0).alias("golden"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (handler_results, first_cues, phash_append, affine_two_axes, similar_documents, most_similar, bulk_verdicts, bulk_percentiles, golden_instants, golden_divergence, golden_vectors)}
+def router_lexical(spark: SparkSession, d: str) -> DataFrame:
+    """The lexical way of the router, carried out: a sentence without a constraint is ranked by its terms."""
+    docs = search._docs(spark, d)
+    way, rows = nlquery.route(search._assets(spark, d), search._ASKED, lambda s: ranking.search(docs, s, 10, project="src3", project_column="source"))
+    return rows.select("doc_id", F.round("score", 6).alias("score"), F.lit(way).alias("way"))
+
+
+def labelled_hotspots(spark: SparkSession, d: str) -> DataFrame:
+    """Player pins whose names come from a table of labels, which not every tag is in."""
+    tags = table(spark, d, "events").select(F.col("event_type").alias("tag")).distinct().where("tag < 'e' or tag > 's'")
+    labels = tags.select("tag", F.concat(F.lit("The "), "tag").alias("title"), F.reverse("tag").alias("description"))
+    return intervals.hotspots(evidence._segments(spark, d), labels).select("video_id", "number", "title", "description")
+
+
+def radiometric_gains(spark: SparkSession, d: str) -> DataFrame:
+    """Gains between each vector and the one with the next id, their components taken as the bytes of small images."""
+    grey = F.transform("embedding", lambda x: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), (x.cast("double") * 4 + 1) * 127.5))).cast("int"))
+    rows = table(spark, d, "embeddings").select("vec_id", F.slice(grey, 1, 63).alias("v"))
+    rows = rows.join(rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w")), "vec_id")
+    data = lambda c: F.unhex(F.array_join(F.transform(c, lambda b: F.lpad(F.hex(b), 2, "0")), "")).alias("data")
+    pairs = rows.select(F.col("vec_id").alias("pair_id"), F.lit(3).alias("height"), F.lit(7).alias("width"), data("v").alias("before"), data("w").alias("after"))
+    found = measure.measure_gains(pairs)
+    return found.select(F.col("pair_id").alias("vec_id"), "status", *[F.round(F.get("gains", F.lit(i)), 6).alias(f"g{i}") for i in range(3)])
+
+
+def percentile_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of two measures by each rule for their place."""
+    lines = table(spark, d, "lineitem")
+    found = [batch.percentiles(lines, ("l_quantity", "l_extendedprice"), (0.5, 0.95, 0.99), rule, "l_linestatus").withColumn("rule", F.lit(rule)) for rule in batch.PLACES]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (handler_results, first_cues, phash_append, affine_two_axes, similar_documents, most_similar, bulk_verdicts, bulk_percentiles, golden_instants, golden_divergence, golden_vectors, router_lexical, labelled_hotspots, radiometric_gains, percentile_rules)}
 
 _ALIKE = f"""
 {search._INDEX},
@@ -187,7 +220,31 @@ def _scan(rows: str) -> str:
     return f"""c AS (SELECT r.*, m.minute, m.us0::DOUBLE AS us, NULL::DOUBLE AS observed FROM ({rows}) r, m), {_STEPS}, scan AS (SELECT * FROM sun)"""
 
 
+_MEDIANS = ", ".join(f"list_median([{side}[3 * i + {c + 1}] FOR i IN range(21)])::DOUBLE AS {side}{c}" for side in ("v", "w") for c in range(3))
+
 ORACLE_SQL: dict[str, str] = {
+    "router_lexical": f"""WITH {search._INDEX}, {search._QUERY} SELECT doc_id, round(score, 6) AS score, 'lexical' AS way FROM hits JOIN documents USING (doc_id)
+WHERE coalesce(source, '') IN ('', 'src3') ORDER BY round(score, 8) DESC, doc_id LIMIT 10""",
+    "labelled_hotspots": f"""
+WITH {evidence._SEGMENTS}, k AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY a, conf DESC, seq) AS r FROM seg WHERE conf >= 0.6e0 AND b - a >= 0.8e0)
+SELECT video_id, r::INTEGER AS number, CASE WHEN tag < 'e' OR tag > 's' THEN 'The ' || tag ELSE upper(tag[1]) || tag[2:] END AS title,
+  CASE WHEN tag < 'e' OR tag > 's' THEN reverse(tag) ELSE 'Observed: ' || tag END AS description FROM k""",
+    "radiometric_gains": f"""
+WITH b AS (SELECT vec_id, list_transform(embedding[1:63], lambda x: floor(greatest(0, least(255, (x::DOUBLE * 4 + 1) * 127.5)))::INTEGER) AS v FROM embeddings),
+p AS (SELECT b.vec_id, b.v, n.v AS w FROM b JOIN b n ON n.vec_id = b.vec_id + 1), m AS (SELECT vec_id, {_MEDIANS} FROM p),
+g AS (SELECT vec_id, least(w0, w1, w2) <= 0 AS dark, v0 / w0 AS g0, v1 / w1 AS g1, v2 / w2 AS g2 FROM m),
+s AS (SELECT *, CASE WHEN dark OR greatest(g0, g1, g2) > 3 OR least(g0, g1, g2) < 1 / 3e0 THEN 'REFUSED'
+  WHEN greatest(abs(g0 - 1), abs(g1 - 1), abs(g2 - 1)) <= 0.02e0 THEN 'NOOP' ELSE 'OK' END AS status FROM g)
+SELECT vec_id, status, CASE WHEN status <> 'REFUSED' THEN round(g0, 6) END AS g0, CASE WHEN status <> 'REFUSED' THEN round(g1, 6) END AS g1,
+  CASE WHEN status <> 'REFUSED' THEN round(g2, 6) END AS g2 FROM s""",
+    "percentile_rules": """
+WITH m AS (SELECT l_linestatus, 'l_quantity' AS metric, l_quantity::DOUBLE AS v FROM lineitem UNION ALL SELECT l_linestatus, 'l_extendedprice', l_extendedprice::DOUBLE FROM lineitem),
+r AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY l_linestatus, metric) AS n FROM m WINDOW w AS (PARTITION BY l_linestatus, metric ORDER BY v)),
+p(rule, q, pct) AS (VALUES ('nearest', 0.5e0, 50), ('nearest', 0.95e0, 95), ('nearest', 0.99e0, 99), ('above', 0.5e0, 50), ('above', 0.95e0, 95), ('above', 0.99e0, 99),
+  ('whole', 0.5e0, 50), ('whole', 0.95e0, 95), ('whole', 0.99e0, 99)),
+g AS (SELECT rule, pct, l_linestatus, metric, max(n) AS n, max(v) FILTER (k = CASE rule WHEN 'nearest' THEN greatest(round_even(q * n, 0), 1) WHEN 'above' THEN least(floor(q * n) + 1, n)
+  ELSE greatest(ceil(floor(pct * n) / 100), 1) END) AS v, min(v) AS least, max(v) AS most FROM r, p GROUP BY ALL)
+SELECT rule, l_linestatus, metric, max(n) AS n, max(v) FILTER (pct = 50) AS p50, max(v) FILTER (pct = 95) AS p95, max(v) FILTER (pct = 99) AS p99, max(least) AS least, max(most) AS most FROM g GROUP BY ALL""",
     "golden_instants": f"""
 WITH {_PLACES}, {_scan("SELECT place, lat, lon FROM n")}, up AS (SELECT * FROM scan WHERE el >= 5)
 SELECT place, 'noon' AS kind, arg_max(minute, (el, -minute)) AS minute, round(max(el), 3) AS sun_elevation FROM scan GROUP BY 1
