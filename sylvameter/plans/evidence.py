@@ -13,7 +13,7 @@ from sylvameter.functions import biomass, imaging, solar
 from sylvameter.functions import text as text_functions
 from sylvameter.operators import batch, dedup, grounding, intervals, leastsquares, links, matching, measure, tagging
 from sylvameter.session import spread
-from sylvameter.sources import corpus
+from sylvameter.sources import scenes
 from sylvameter.sources.tables import table
 from sylvameter.streaming import notifications
 
@@ -317,18 +317,32 @@ def affine_residual(spark: SparkSession, d: str) -> DataFrame:
     return leastsquares.affine_fit(points, "l_suppkey").select("l_suppkey", F.round("rms", 2).alias("rms"))
 
 
-def demo_corpus(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.assets(spark).groupBy("esg_project_id", "milestone_phase").agg(F.count("*").alias("n"))
+def supplier_assets(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as assets near the equator at the equinox, where the height of the sun follows from the hour."""
+    number = F.col("s_suppkey")
+    return spread(table(spark, d, "supplier").select(
+        number.cast("string").alias("asset_id"), number.alias("number"), F.lit("2026-09-22").alias("capture_timestamp"),
+        (F.col("s_nationkey") % 21 - 10).cast("double").alias("latitude"), (F.col("s_nationkey") * 14 - 170).cast("double").alias("longitude"),
+        F.when(number % 3 == 0, "C2PA_VERIFIED").otherwise("C2PA_MISSING").alias("c2pa_provenance"), number.alias("seed"),
+        F.when(number % 23 == 1, -1).otherwise(12 + number % 41).alias("green"), (14 + number % 29).alias("green_before"),
+    ))
 
 
 def demo_batch(spark: SparkSession, d: str) -> DataFrame:
-    """The bulk run over the demonstration corpus."""
-    rows = corpus.assets(spark).withColumn("number", F.substring("asset_id", -4, 4).cast("int"))
-    return batch.tallies(batch.run(rows, "number"))
+    """The sun stage of the bulk run: a tenth of the assets with a turned shadow, a tenth at low sun."""
+    return batch.tallies(batch.run(supplier_assets(spark, d), "number"))
 
 
 def demo_campaign(spark: SparkSession, d: str) -> DataFrame:
-    return links.campaign(corpus.assets(spark), corpus.projects(spark), "https://media.example.org/demo")
+    """Customers as projects and their orders as captures: links made of the first and the latest of each."""
+    key = F.col("o_custkey").cast("string")
+    assets = table(spark, d, "orders").select(
+        key.alias("esg_project_id"), F.concat_ws("/", F.lit("impact"), key, F.col("o_orderkey").cast("string")).alias("public_id"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("capture_timestamp"), F.round(F.col("o_totalprice") / 1000, 1).alias("canopy_delta_pct"),
+        F.when(F.col("o_orderstatus") == "F", "C2PA_VERIFIED").otherwise("C2PA_MISSING").alias("c2pa_provenance"),
+    )
+    projects = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"))
+    return links.campaign(assets, projects, "https://media.example.org/demo").select("id", "split_url", "reel_url")
 
 
 def report_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -340,9 +354,9 @@ def report_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def image_measures(spark: SparkSession, d: str) -> DataFrame:
-    """Measures, hashes and tags of synthetic scenes, one of them unreadable."""
-    scenes = [*corpus.scenes(6, 96, 128), ("broken", 10, 10, b"x")]
-    found = measure.measure_images(spark.createDataFrame(scenes, "image_id string, height int, width int, data binary"))
+    """Measures, hashes and tags of scenes that are drawn for the suppliers, some of them unreadable."""
+    drawn = scenes.render(supplier_assets(spark, d), 96, 64).withColumnRenamed("asset_id", "image_id")
+    found = measure.measure_images(drawn)
     return found.withColumn("tags", F.transform(tagging.by_confidence(tagging.pixel_tags()), lambda h: h["tag"])).select("image_id", "status", "phash", "tags")
 
 
@@ -363,7 +377,7 @@ QUERIES: dict[str, Query] = {
         solar_position, shadow_verdict, verdict_tallies, time_of_day, allometry, allometry_stand, sampling_error, vm0047_discount, phash_nearest, phash_scoped,
         phash_verdict, sweep_cues, video_tags, surest_lines, caption_check, hotspots, active_at, vtt_timestamp, tag_rules, tag_fusion, tag_conflicts, number_extract, grounding_check,
         project_summary, label_quality, ratio_test_knn, rate_limit_window, notification_dedup, freshness, handler_counts, signatures, otsu_threshold,
-        median_gains, histogram_match, affine_residual, demo_corpus, demo_batch, demo_campaign, report_rows, image_measures, notification_results,
+        median_gains, histogram_match, affine_residual, demo_batch, demo_campaign, report_rows, image_measures, notification_results,
     )
 }
 
@@ -452,6 +466,20 @@ _NOTES = """notes AS (SELECT *, CASE WHEN reason <> 'verified' THEN 'REJECTED_UN
   FROM (SELECT *, CASE event_type WHEN 'view' THEN 'eager' WHEN 'purchase' THEN 'upload' WHEN 'signup' THEN 'video' ELSE event_type END AS kind FROM events)))"""
 
 ORACLE_SQL: dict[str, str] = {
+    "demo_batch": """
+SELECT CASE s_suppkey % 10 WHEN 0 THEN 'QUARANTINE_SOLAR_MISMATCH' WHEN 5 THEN 'REVIEW_LOW_SUN_UNDETERMINED' ELSE 'PHYSICS_PASS' END AS verdict, count(*) AS n,
+  count(*) FILTER (s_suppkey % 30 = 0) AS contradictions FROM supplier GROUP BY 1""",
+    "demo_campaign": """
+WITH a AS (SELECT o_custkey AS c, 'impact/' || o_custkey || '/' || o_orderkey AS pid, strftime(o_orderdate, '%Y-%m-%d') AS d, round(o_totalprice / 1000, 1) AS canopy, o_orderstatus = 'F' AS sound FROM orders),
+e AS (SELECT c, arg_min(pid, (d, pid)) AS f, arg_max(pid, (d, pid)) AS l, arg_max(canopy, (d, pid)) AS canopy, arg_max(sound, (d, pid)) AS sound FROM a GROUP BY 1)
+SELECT c_custkey::VARCHAR AS id,
+  'https://media.example.org/demo/image/upload/c_fill,w_1200,h_800/c_crop,w_600,h_800,g_west/l_' || replace(l, '/', ':')
+  || '/c_fill,w_1200,h_800/c_crop,w_600,h_800,g_east/l_text:Arial_22_bold:BEFORE,co_white,b_rgb:00000080,g_north_west,x_30,y_30'
+  || '/l_text:Arial_22_bold:AFTER,co_white,b_rgb:05966990,g_north_east,x_30,y_30/l_text:Arial_26_black:'
+  || url_encode(printf('%+.1f%% CANOPY', canopy) || CASE WHEN sound THEN ' | PROVENANCE VERIFIED' ELSE '' END) || ',co_white,b_rgb:064e3b95,g_south,x_30,y_30/f_auto,q_auto:good/' || f || '.jpg' AS split_url,
+  'https://media.example.org/demo/video/upload/ar_9:16,c_fill,g_center/e_sharpen:60/l_text:Arial_34_black:' || url_encode(upper(c_name))
+  || ',co_white,b_rgb:059669,g_north,x_0,y_80/l_text:Arial_24_bold:Verified%20evidence,co_white,g_south,x_0,y_60/f_auto,q_auto/' || l || '.mp4' AS reel_url
+FROM customer LEFT JOIN e ON c = c_custkey""",
     "solar_position": f"WITH {_SUN} SELECT event_id, round(az, 3) AS sun_azimuth, round(el, 3) AS sun_elevation FROM sun",
     "shadow_verdict": f"""WITH {_SUN} SELECT event_id, round(shadow, 3) AS expected_shadow, round(err, 3) AS angular_error, verdict,
   CASE WHEN verdict = 'PHYSICS_PASS' THEN 'VERIFIED_PASS' WHEN verdict LIKE 'QUARANTINE%' THEN 'QUARANTINE_FRAUD' ELSE 'REVIEW_AMBIGUOUS' END AS decision FROM sun""",

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from sylvameter.operators import batch, dedup, golden, intervals, leastsquares, measure, nlquery, similarity
 from sylvameter.operators import search as ranking
 from sylvameter.plans import evidence, search
-from sylvameter.session import spread
 from sylvameter.sources import scenes
 from sylvameter.sources.tables import table
 from sylvameter.streaming import notifications
@@ -95,13 +94,7 @@ _SIDE = 64  # columns of a scene
 
 def _bulk(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers as assets with an image before and after; a tenth with a turned shadow, a tenth at low sun, some broken."""
-    number = F.col("s_suppkey")
-    rows = spread(table(spark, d, "supplier").select(
-        number.cast("string").alias("asset_id"), number.alias("number"), F.lit("2026-09-22").alias("capture_timestamp"),
-        (F.col("s_nationkey") % 21 - 10).cast("double").alias("latitude"), (F.col("s_nationkey") * 14 - 170).cast("double").alias("longitude"),
-        F.when(number % 3 == 0, "C2PA_VERIFIED").otherwise("C2PA_MISSING").alias("c2pa_provenance"), number.alias("seed"),
-        F.when(number % 23 == 1, -1).otherwise(12 + number % 41).alias("green"), (14 + number % 29).alias("green_before"),
-    ))
+    rows = evidence.supplier_assets(spark, d)
     images = scenes.render(rows, 48, _SIDE)
     points = rows.select("asset_id", scenes.correspondences(F.col("number")).alias("points"))
     return batch.bulk(rows, images.join(points, "asset_id"), "number")
