@@ -80,7 +80,7 @@ def nearest(
     agree so on a band, so a probe whose nearest is within that radius is done. With ``most_distance`` nothing farther
     is looked for; where the radius does not cover it, what is left is compared with the whole corpus in blocks of arrays.
     """
-    rows = _as_corpus(corpus, same_project)
+    rows = materialise(_as_corpus(corpus, same_project))
     return _nearest(probes, rows, _in_bands(rows, bands), same_project, earlier_only, most_distance, bands)
 
 
@@ -90,7 +90,6 @@ def _in_bands(rows: DataFrame, bands: int) -> DataFrame:
 
 
 def _nearest(probes: DataFrame, corpus: DataFrame, in_bands: DataFrame, same_project: bool, earlier_only: bool, most_distance: int | None, bands: int) -> DataFrame:
-    corpus, in_bands = materialise(corpus), materialise(in_bands)
     project = F.col("project_id") if same_project else F.lit(None).cast("string")
     asked = probes.where("hi is not null and lo is not null").select("asset_id", "hi", "lo", project.alias("project_id"), "seq")
     left, found = materialise(asked), []
@@ -199,7 +198,8 @@ class HashCorpus:
         rows = self.spark.read.parquet(f"{self.folder}/bands")
         first = F.min(F.struct(F.col("seq").alias("c_seq"), F.col("asset_id").alias("c_id"))).alias("c")
         in_bands = rows.groupBy("band", "value", F.col("hi").alias("c_hi"), F.col("lo").alias("c_lo"), project.alias("c_project")).agg(first)
-        return _nearest(probes, _as_corpus(self.rows(), same_project), in_bands, same_project, earlier_only, most_distance, self.bands)
+        whole = materialise(_as_corpus(self.rows(), same_project))
+        return _nearest(probes, whole, materialise(in_bands), same_project, earlier_only, most_distance, self.bands)
 
 
 def verdict(distance: Column, asset: Column | None = None, match: Column | None = None) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sylvameter.operators import batch, dedup, golden, intervals, leastsquares, measure, nlquery, similarity
 from sylvameter.operators import search as ranking
 from sylvameter.plans import evidence, search
+from sylvameter.session import spread
 from sylvameter.sources import scenes
 from sylvameter.sources.tables import table
 from sylvameter.streaming import notifications
@@ -38,7 +39,7 @@ def _notes(spark: SparkSession, d: str) -> DataFrame:
         .otherwise(F.to_json(F.struct(*common, kind.alias("notification_type"))))
     )
     none = F.create_map().cast("map<string,string>").alias("headers")
-    return table(spark, d, "events").select(body.cast("binary").alias("body"), none, F.col("ts").cast("timestamp").alias("received_at"))
+    return spread(table(spark, d, "events")).select(body.cast("binary").alias("body"), none, F.col("ts").cast("timestamp").alias("received_at"))
 
 
 def handler_results(spark: SparkSession, d: str) -> DataFrame:
