@@ -34,9 +34,10 @@ def bulk(assets: DataFrame, images: DataFrame, number: str) -> DataFrame:
     """The whole run: verdicts of ``assets`` joined with every image stage of ``images`` (see ``measure.measure_assets``).
 
     ``assets`` has asset_id, capture_timestamp, latitude, longitude and ``number``. Image bytes are measured where they are
-    read; what is joined are the figures. An asset without an image keeps its verdict and has nulls.
+    read; what is joined are the figures. An asset without an image keeps its verdict and has nulls. The figures are as
+    many as the images and their size is not known before, so they are never broadcast.
     """
-    measured = measure.measure_assets(images)
+    measured = measure.measure_assets(images).hint("merge")
     joined = run(assets, number).join(measured, "asset_id", "left")
     return joined.withColumn("forgery", measure.forgery_action(F.col("noise"), F.col("fft_peak"), F.col("moire"))["action"]).withColumn(
         "forgery", F.when(F.col("status") == "INGESTED", F.col("forgery"))

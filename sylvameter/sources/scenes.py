@@ -26,17 +26,20 @@ def scene(seed: int, height: int, width: int, green: int, spread: float = 6.0) -
 def render(df: DataFrame, height: int, width: int) -> DataFrame:
     """``df`` (asset_id, seed, green, green_before) as images: (asset_id, height, width, data, before).
 
-    A null or negative ``green`` gives bytes that are no image, as a broken upload would.
+    A null or negative ``green`` gives bytes that are no image, as a broken upload would. Column ``points``, if there is
+    one, is passed on: a join with the images would move all their bytes, or broadcast them.
     """
+    points = [c for c in df.columns if c == "points"]
     kind = df.schema["asset_id"].dataType.simpleString()
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             both = [(b"broken", None) if pd.isna(g) or g < 0 else tuple(scene(int(s), height, width, int(x)).tobytes() for x in (g, b)) for s, g, b in zip(pdf["seed"], pdf["green"], pdf["green_before"], strict=True)]
-            yield pd.DataFrame({"asset_id": pdf["asset_id"], "height": height, "width": width, "data": [x[0] for x in both], "before": [x[1] for x in both]})
+            yield pd.DataFrame({"asset_id": pdf["asset_id"], "height": height, "width": width, "data": [x[0] for x in both], "before": [x[1] for x in both]} | {c: pdf[c] for c in points})
 
     ship(df.sparkSession)
-    return df.select("asset_id", "seed", "green", "green_before").mapInPandas(draw, f"asset_id {kind}, height int, width int, data binary, before binary")
+    kinds = [f"asset_id {kind}, height int, width int, data binary, before binary", *[f"points {df.schema[c].dataType.simpleString()}" for c in points]]
+    return df.select("asset_id", "seed", "green", "green_before", *points).mapInPandas(draw, ", ".join(kinds))
 
 
 def correspondences(number: Column, side: int = 6, stray: int = 7) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sylvameter.functions import diagnostics, geometry
 from sylvameter.operators import batch, leastsquares, matching, search, similarity
+from sylvameter.plans import flows
 from sylvameter.sources import scenes
 
 
@@ -138,3 +139,17 @@ def test_bulk_run_with_odd_images(spark):
     assert rows["5"].registration == "TOO_FEW_POINTS" and rows["5"].change_pct is None and rows["6"].canopy_status is None and rows["7"].status is None and rows["7"].verdict
     report = batch.report(batch.bulk(assets, df, "number")).collect()
     assert sum(r.n for r in report) == 9 and sum(r.rejected for r in report) == 4 and sum(r.trusted for r in report) == 1
+
+
+def test_bulk_run_broadcasts_no_images(spark, data):
+    """Neither image bytes nor what was measured on them goes through the driver, however small the table of assets looks."""
+    for name in ("bulk_verdicts", "bulk_percentiles"):
+        plan = flows.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" not in plan and plan.count("SortMergeJoin") == 1, name
+
+
+def test_samples_of_four_have_their_homography():
+    rng = np.random.default_rng(10)
+    src = rng.uniform(-2, 2, (200, 4, 2))
+    for h, p in zip(geometry.exact_homographies(src, src[::-1]), zip(src, src[::-1], strict=True), strict=True):
+        assert np.abs(geometry.project(h, p[0]) - p[1]).max() < 1e-5
