@@ -16,8 +16,8 @@ from sylvameter.session import materialise, shared_path
 #: The largest distances of a duplicate and of a case for review.
 QUARANTINE, REVIEW = 8, 12
 HASH_BITS = 64
-#: Bands of a hash, and the most bits in which the values of a band may differ: 5 and 2 reach every hash within 14 bits.
-BANDS, FLIPS = 5, 2
+#: Bands of a hash, and the most bits in which the values of a band may differ: 5 and 1 reach every hash within 9 bits.
+BANDS, FLIPS = 5, 1
 
 
 def hash_halves(hex16: Column) -> tuple[Column, Column]:
@@ -76,9 +76,12 @@ def nearest(
 
     Ties go to the smaller seq, a distance of all 64 bits is no match, an asset matches itself only as a resubmission; a
     null hash has no match. The search is exact and grows in radius: first equal hashes; then, in each band of the hash,
-    equal values and values of up to two other bits. Hashes less than ``bands`` times one more than these bits apart
-    agree so on a band, so a probe whose nearest is within that radius is done. With ``most_distance`` nothing farther
-    is looked for; where the radius does not cover it, what is left is compared with the whole corpus in blocks of arrays.
+    equal values; then values of another bit, if that covers ``most_distance``. Hashes less than ``bands`` times one more
+    than these bits apart agree so on a band, so a probe whose nearest is within that radius is done. With
+    ``most_distance`` nothing farther is looked for; where the radius does not cover it, what is left is compared with the
+    whole corpus in blocks of arrays.
+
+    Spark takes a table with exploded bands for as small as its file and would broadcast it, so these joins are told not to.
     """
     rows = materialise(_as_corpus(corpus, same_project))
     return _nearest(probes, rows, _in_bands(rows, bands), same_project, earlier_only, most_distance, bands)
@@ -103,13 +106,13 @@ def _nearest(probes: DataFrame, corpus: DataFrame, in_bands: DataFrame, same_pro
     left = left.join(equal, "asset_id", "left_anti")
     radius = 0
     for flips in (0, FLIPS):
-        if most_distance is not None and radius >= most_distance:
-            break
+        if most_distance is not None and radius >= most_distance or flips and (most_distance is None or most_distance >= bands * (flips + 1)):
+            break  # enough, or blocks have to look at what is left anyway
         radius = bands * (flips + 1) - 1
         masks = [_flips(width, flips) for _, width in _bands(HASH_BITS, bands)]
         varied = banded(left, bands=bands).withColumn("mask", F.explode(F.element_at(F.array(*[F.lit(m) for m in masks]), F.col("band") + 1)))
         keyed = varied.select("asset_id", "hi", "lo", "project_id", "seq", F.col("band").alias("p_band"), F.col("value").bitwiseXOR(F.col("mask")).alias("p_value"))
-        near = materialise(joined(keyed, in_bands, F.col("p_band") == F.col("band"), F.col("p_value") == F.col("value")).where(F.col("best.d") <= radius))
+        near = materialise(joined(keyed.hint("merge"), in_bands.hint("merge"), F.col("p_band") == F.col("band"), F.col("p_value") == F.col("value")).where(F.col("best.d") <= radius))
         found.append(near)
         left = left.join(near, "asset_id", "left_anti")
     if most_distance is None or most_distance > radius:
@@ -143,7 +146,7 @@ def _by_blocks(probes: DataFrame, corpus: DataFrame, earlier_only: bool, block:
                 yield _closest(p, c, earlier_only, names)
 
     schema = f"asset_id {probes.schema['asset_id'].dataType.simpleString()}, d int, c_seq {seq_kind}, c_id {id_kind}"
-    met = left.join(right, "c_block").select("p", "c").repartition(max(1, n_probes * n_corpus)).mapInArrow(meet, schema)
+    met = left.hint("merge").join(right.hint("merge"), "c_block").select("p", "c").repartition(max(1, n_probes * n_corpus)).mapInArrow(meet, schema)
     return met.where("d < 64").select("asset_id", F.struct("d", "c_seq", "c_id").alias("best")).groupBy("asset_id").agg(F.min("best").alias("best"))
 
 

@@ -79,6 +79,22 @@ def test_hamming_nearest_and_bands(spark):
     assert [r[0] for r in verdicts.select(dedup.verdict(F.col("d"), F.col("a"), F.col("m"))).collect()] == ["QUARANTINE_DUPLICATE", "REVIEW_SIMILAR", "UNIQUE", "RESUBMISSION", "UNIQUE"]
 
 
+def test_hash_search_broadcasts_no_exploded_bands(spark, monkeypatch):
+    """Probes once for each band and bit are many times their table, which looks small enough to be broadcast."""
+    rng = np.random.default_rng(7)
+    base = [int(v) for v in rng.integers(0, 1 << 63, 30, dtype=np.uint64)]
+    values = [v ^ sum(1 << int(x) for x in rng.choice(64, k, replace=False)) for v in base for k in (0, 4, 8, 10)]
+    df = spark.createDataFrame([(i, v >> 32, v & 0xFFFFFFFF, None, i) for i, v in enumerate(values)], "asset_id long, hi long, lo long, project_id string, seq long")
+    plans, write = [], dedup.materialise
+    monkeypatch.setattr(dedup, "materialise", lambda t: plans.append(t._jdf.queryExecution().executedPlan().toString()) or write(t))
+    for most in (None, 4, 8, 9, 12):
+        want = {i: min(((v ^ values[j]).bit_count(), j) for j in range(i)) for i, v in enumerate(values) if i}
+        got = {r.asset_id: (r.distance, r.match_id) for r in dedup.nearest(df, df, earlier_only=True, most_distance=most).collect()}
+        assert got == {0: (None, None)} | {i: x if x[0] <= (64 if most is None else most) else (None, None) for i, x in want.items()}
+    by_band = [p for p in plans if "p_band" in p]
+    assert len(by_band) == 7 and all("SortMergeJoin [p_band" in p for p in by_band)
+
+
 def test_hash_corpus_that_grows(spark, tmp_path):
     """Appended in batches, one of them twice, with nulls and many copies of a hash: as one search over all rows."""
     rng = np.random.default_rng(6)
