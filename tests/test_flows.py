@@ -58,6 +58,25 @@ def test_similar_documents(spark, threshold):
     assert similarity.most_similar(df.limit(0), threshold).count() == 0
 
 
+def test_blocks_of_documents_lose_no_link(spark, monkeypatch):
+    """Documents of many blocks, and leading terms by small portions: as in one block, and as all pairs."""
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(90)]
+    texts = {i: " ".join(rng.choice(words, 9)) for i in range(70)}
+    texts |= {100 + i: f"{texts[i]} {words[i]}" for i in range(40)} | {200 + i: texts[i] for i in range(10)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(similarity, "BLOCK", 700)
+    monkeypatch.setattr(similarity, "AT_ONCE", 7)
+    found, links = similarity.similar_documents(df, 0.5)
+    want = _alike(texts, 0.5)
+    assert similarity.packed(df).count() > 3 and len(want) > 100
+    got = {r.doc_id: (r.class_id, r.n_links) for r in found.collect()}
+    assert {i: n for i, (_, n) in got.items()} == {i: sum(a == i for a, _ in want) for i in texts}
+    scores = {(r.a, r.b): r.score for r in links.collect()}
+    firsts = {c for c, _ in got.values()}
+    assert scores == pytest.approx({(a, b): x for (a, b), x in want.items() if a < b and {a, b} <= firsts})
+
+
 def test_prefixes_are_short(spark):
     """Common terms do not lead, so documents never meet by them."""
     texts = [(i, "common plain usual word " + f"own{i} rare{i // 2}") for i in range(40)]
