@@ -13,20 +13,24 @@ weighing more, and stops at the article or where no single container prevails. W
 without the template runs (inside an article or main element nothing counts as template) and without menus, headers,
 footers, sidebars, notices, adverts, forms and reader comments.
 
-Copies count once: a page weighs one over the number of pages of its host with the same longest runs. Wrappers merge,
-so each task folds the pages it reads and a host is merged in two steps, first by a salt and then as a whole. Groups of
-less than a fiftieth of a wrapper's pages are forgotten and a slot counts at most RUNS runs (a Misra-Gries summary, whose
-error is the slot's runs over RUNS + 1), so a wrapper is bounded however many pages a host has. Wrappers are broadcast
-below a checked size and joined by host above it.
+Copies count once: a page weighs one over the number of pages of its host with the same longest runs. How a page is
+aligned depends on its shape alone, the tree of its groups' kinds. The distinct shapes of a host are merged into its
+skeleton, in two steps, first by a salt and then as a whole, and always in the same order. Each shape is aligned with the
+skeleton once, and pages, text and runs are summed by slot as rows. No group is forgotten and every run is counted,
+however many pages a host has; the wrapper keeps the template runs. Texts do not depend on how pages are dealt to
+tasks. A skeleton grows with the shapes of a host, not with its pages. Wrappers are broadcast below a checked size and
+joined by host above it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -39,15 +43,17 @@ from sylvameter.session import materialise
 
 #: Share of a slot's pages that must have a run for it to be template, and the least number of pages.
 CONSTANT, LEAST = 0.5, 1.99
-#: Runs that a slot counts, and the share of pages below which a group is forgotten once a wrapper has SETTLED pages.
-RUNS, RARE, SETTLED = 48, 0.02, 50.0
+#: Runs of a ``summary``.
+RUNS = 48
 #: Share of the score that a container must hold for the reading to go down into it.
 PREVAILS = 0.6
 #: Containers of one kind in a row that are matched one by one.
 SIDE_BY_SIDE = 12
 SALTS = 64
-#: Most cells of a table of two lists of siblings.
-CELLS = 40_000
+#: Counts of runs that a task holds before it hands them on.
+HELD = 200_000
+#: In place of a run: the text of a slot, and its pages.
+TEXT, PAGES = -1, -2
 #: Fixed value: elements that are not the article.
 OTHER_TAGS = frozenset("head nav footer aside button select option dialog menu search".split())
 CONTAINERS = frozenset("html body main article section div form fieldset center td tr tbody table".split())
@@ -69,11 +75,15 @@ def _marked(node: Node) -> bool:
     return bool((node.marks | node.ids) & (OTHER_MARKS | COMMENT_MARKS))
 
 
+def tree(source: str | None) -> Node:
+    return parse(source, lambda n: n.tag in OTHER_TAGS or n.aside)
+
+
 class Page:
     """A parsed page with what lies in each block: unlinked text, and whether there is an article, main or h1 element."""
 
     def __init__(self, source: str | None) -> None:
-        self.root = parse(source, lambda n: n.tag in OTHER_TAGS or n.aside)
+        self.root = tree(source)
         self.mass: dict[Node, float] = {}
         self.holds: dict[Node, frozenset[str]] = {}
         self._measure(self.root)
@@ -148,21 +158,27 @@ def grouped(nodes: list[Node]) -> list[tuple[str, list]]:
     return whole
 
 
+_NUMBERS: dict[tuple, int] = {}
+_NEXT = count()
+
+
 class Wrapper:
-    """A group aligned over pages: their weight, for text runs the summary of runs and the unlinked text, and groups."""
+    """A group aligned over pages: their weight, for text runs the counts of runs and the unlinked text, and groups."""
 
-    __slots__ = ("kind", "pages", "text", "runs", "kids", "members", "_varying")
+    __slots__ = ("kind", "pages", "text", "runs", "kids", "members", "_varying", "_kinds", "_alike")
 
     def __init__(self, kind: str, pages: float, text: float = 0.0, runs: dict[int, float] | None = None, kids: list[Wrapper] | None = None) -> None:
         self.kind, self.pages, self.text, self.runs, self.kids = kind, pages, text, runs or {}, kids or []
         self.members: list = []  # of one page's group: its blocks
         self._varying: float | None = None
+        self._kinds: list[str] | None = None
+        self._alike: int | None = None
 
     @classmethod
     def of(cls, kind: str, members: list, weight: float) -> Wrapper:
         """The wrapper of one page's group."""
         if kind == "#text":
-            runs = summary({_key(r): weight for r, _ in members})
+            runs = {_key(r): weight for r, _ in members}
             return cls(kind, weight, weight * sum(len(r) * share for r, share in members), runs)
         whole = cls(kind, weight, kids=[cls.of(k, m, weight) for k, m in grouped(members)])
         whole.members = members
@@ -178,13 +194,43 @@ class Wrapper:
         if self._varying is None:
             if self.kind == "#text":
                 fixed = sum(self.runs[k] * (k & 0xFFFFF) for k in self.constant())
-                self._varying = max(0.0, self.text - fixed) / self.pages
+                all_of_it = max(0.0, self.text - fixed)
             else:
-                self._varying = sum(w.varying() * w.pages for w in self.kids) / self.pages
+                all_of_it = sum(w.varying() * w.pages for w in self.kids)
+            self._varying = all_of_it / self.pages if self.pages else 0.0
         return self._varying
 
+    def kinds(self) -> list[str]:
+        if self._kinds is None:
+            self._kinds = [w.kind for w in self.kids]
+        return self._kinds
+
+    def alike(self) -> int:
+        """A number that only wrappers of one shape share."""
+        if self._alike is None:
+            key = (self.kind, *(w.alike() for w in self.kids))
+            if len(_NUMBERS) > HELD:  # numbers are not given again
+                _NUMBERS.clear()
+            self._alike = _NUMBERS.setdefault(key, next(_NEXT))
+        return self._alike
+
+    def groups(self) -> Iterator[Wrapper]:
+        """This group and all below, each before its own; the places of groups and slots are those in this order."""
+        yield self
+        for w in self.kids:
+            yield from w.groups()
+
+    def shape(self) -> list:
+        return [self.kind, *(w.shape() for w in self.kids)]
+
+    @classmethod
+    def shaped(cls, shape: list) -> Wrapper:
+        return cls(shape[0], 0.0, kids=[cls.shaped(x) for x in shape[1:]])
+
     def flat(self) -> list:
-        return [self.kind, self.pages, self.text, sorted(self.runs.items()), [w.flat() for w in self.kids]]
+        """What a reading needs: of the runs the template."""
+        runs = sorted((k, self.runs[k]) for k in self.constant()) if self.runs else []
+        return [self.kind, self.pages, self.text, runs, [w.flat() for w in self.kids]]
 
     @classmethod
     def read(cls, flat: list) -> Wrapper:
@@ -192,7 +238,10 @@ class Wrapper:
 
 
 def summary(runs: dict[int, float]) -> dict[int, float]:
-    """At most RUNS of the counts: the largest, less what the next one has."""
+    """At most RUNS of the counts: the largest, less what the next one has.
+
+    For callers that hold counts of a stream; no wrapper is cut to it.
+    """
     if len(runs) <= RUNS:
         return runs
     ranked = sorted(runs.items(), key=lambda x: (-x[1], x[0]))
@@ -203,28 +252,39 @@ def summary(runs: dict[int, float]) -> dict[int, float]:
 def match(left: list[str], right: list[str], score) -> list[tuple[int, int]]:
     """Simple tree matching of two sequences of kinds: pairs of places in order, with the largest total ``score(i, j)``.
 
-    Where there are more than CELLS pairs of places, kinds that are once on either side are matched in the longest order
-    that they share instead.
+    Only pairs of one kind are looked at, so that long lists of many kinds take little longer than short ones. Of equal
+    totals it is the one that ends first on the left, then on the right, and so on backwards.
     """
     if left == right:
         return [(i, i) for i in range(len(left))]
-    if len(left) * len(right) > CELLS:
-        return _in_order(left, right)
-    best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-    for i, x in enumerate(left):
-        row, above = best[i + 1], best[i]
-        for j, y in enumerate(right):
-            same = above[j] + score(i, j) if x == y else 0
-            row[j + 1] = max(above[j + 1], row[j], same)
-    pairs, i, j = [], len(left), len(right)
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs.append((i, j))
+    shared = set(left).intersection(right)
+    pairs = _in_order(left, right)
+    if len(pairs) == len(shared):  # all that there is to match
+        return pairs
+    places: dict[str, list[int]] = {k: [] for k in shared}
+    for j, kind in enumerate(right):
+        if kind in shared:
+            places[kind].append(j)
+    # runs of pairs (total, -i, -j, the run before), those that no run ending further left beats, by their last place
+    ends: list[int] = []
+    chain: list[tuple] = []
+    for i, kind in enumerate(left):
+        new = []
+        for j in places.get(kind, ()):
+            at = bisect_left(ends, j)
+            before = chain[at - 1] if at else None
+            new.append(((before[0] if before else 0) + score(i, j), -i, -j, before))
+        for link in new:
+            at = stop = bisect_left(ends, -link[2])
+            if at and chain[at - 1] > link:
+                continue
+            while stop < len(ends) and chain[stop] < link:
+                stop += 1
+            ends[at:stop], chain[at:stop] = [-link[2]], [link]
+    pairs, link = [], chain[-1] if chain else None
+    while link:
+        pairs.append((-link[1], -link[2]))
+        link = link[3]
     return pairs[::-1]
 
 
@@ -249,33 +309,46 @@ def _in_order(left: list[str], right: list[str]) -> list[tuple[int, int]]:
 
 def aligned(a: Wrapper, b: Wrapper, sizes: dict) -> list[tuple[int, int]]:
     """The matched groups below two wrappers of one kind."""
-    return match([w.kind for w in a.kids], [w.kind for w in b.kids], lambda i, j: _size(a.kids[i], b.kids[j], sizes))
+    return match(a.kinds(), b.kinds(), lambda i, j: _size(a.kids[i], b.kids[j], sizes))
 
 
 def _size(a: Wrapper, b: Wrapper, sizes: dict) -> int:
     """Matched nodes of two wrappers of one kind, their roots included."""
-    key = (id(a), id(b))
+    key = (a.alike(), b.alike())
     if key not in sizes:
         sizes[key] = 1 + sum(_size(a.kids[i], b.kids[j], sizes) for i, j in aligned(a, b, sizes))
     return sizes[key]
 
 
-def merge(a: Wrapper, b: Wrapper, sizes: dict | None = None, rare: float | None = None) -> Wrapper:
-    """One wrapper for the pages of both; what only one has stays, with its own count of pages, unless it is rare."""
+def merge(a: Wrapper, b: Wrapper, sizes: dict | None = None) -> Wrapper:
+    """One wrapper for the pages of both; what only one has stays, with its own count of pages, and every run is counted."""
     sizes = {} if sizes is None else sizes
     pages = a.pages + b.pages
-    if rare is None:
-        rare = RARE * pages if pages >= SETTLED else 0.0
     if a.kind == "#text":
         runs = a.runs | {k: a.runs.get(k, 0.0) + n for k, n in b.runs.items()}
-        return Wrapper("#text", pages, a.text + b.text, summary(runs))
+        return Wrapper("#text", pages, a.text + b.text, runs)
     kids, i, j = [], 0, 0
     for p, q in [*aligned(a, b, sizes), (len(a.kids), len(b.kids))]:
         kids += a.kids[i:p] + b.kids[j:q]
         if p < len(a.kids):
-            kids.append(merge(a.kids[p], b.kids[q], sizes, rare))
+            kids.append(merge(a.kids[p], b.kids[q], sizes))
         i, j = p + 1, q + 1
-    return Wrapper(a.kind, pages, kids=[w for w in kids if w.pages >= rare])
+    return Wrapper(a.kind, pages, kids=kids)
+
+
+def slots(page: Wrapper, skeleton: Wrapper) -> list[int]:
+    """For each group of a page or its shape the place of its slot, -1 where there is none."""
+    place = {id(w): i for i, w in enumerate(skeleton.groups())}
+    out, sizes = [], {}
+
+    def walk(group: Wrapper, slot: Wrapper | None) -> None:
+        out.append(place[id(slot)] if slot else -1)
+        pairs = {i: slot.kids[j] for i, j in aligned(group, slot, sizes)} if slot else {}
+        for i, kid in enumerate(group.kids):
+            walk(kid, pairs.get(i))
+
+    walk(page, skeleton)
+    return out
 
 
 # --- reading ------------------------------------------------------------------------------------------------------
@@ -400,60 +473,135 @@ def weighted(pages: DataFrame) -> DataFrame:
     return joined.select("host", "html", (F.lit(1.0) / F.coalesce("n", F.lit(1))).alias("weight"))
 
 
-_WRAPPERS = "host string, salt long, wrapper string"
-
-
-def _batch(rows: list[tuple[str, int, str]]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.int64(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["host", "salt", "wrapper"])
+def _table(rows: list[tuple], **kinds: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], list(kinds))
 
 
 def _dump(w: Wrapper) -> str:
     return json.dumps(w.flat(), separators=(",", ":"))
 
 
-def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge wrappers that come sorted by host and salt."""
-    key, w = None, None
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, html, weight) to (host, shape, weight, parts): pages of one shape, the text of their groups and the runs."""
+    part = pa.list_(pa.struct([("at", pa.int64()), ("run", pa.int64()), ("n", pa.float64())]))
+    held: dict[tuple[str, str], list] = {}
+    counts = 0
+
+    def out() -> pa.RecordBatch:
+        rows = [(h, s, w, [{"at": i, "run": k, "n": n} for (i, k), n in parts.items()]) for (h, s), (w, parts) in held.items()]
+        held.clear()
+        return _table(rows, host=pa.string(), shape=pa.string(), weight=pa.float64(), parts=part)
+
+    for batch in slices(batches, "html"):
+        for host, source, weight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            page = Wrapper.of("#root", [tree(source)], weight)
+            entry = held.setdefault((host, json.dumps(page.shape(), separators=(",", ":"))), [0.0, {}])
+            entry[0] += weight
+            parts = entry[1]
+            counts -= len(parts)
+            for i, group in enumerate(page.groups()):
+                if group.kind == "#text":
+                    parts[i, TEXT] = parts.get((i, TEXT), 0.0) + group.text
+                    for k, n in group.runs.items():
+                        parts[i, k] = parts.get((i, k), 0.0) + n
+            counts += len(parts) + 1
+            if counts > HELD:
+                yield out()
+                counts = 0
+    if held:
+        yield out()
+
+
+def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merge shapes that come sorted by host and salt."""
+    key, whole = None, None
+
+    def out() -> pa.RecordBatch:
+        shape = json.dumps(whole.shape(), separators=(",", ":"))
+        return _table([(*key, shape)], host=pa.string(), salt=pa.int64(), shape=pa.string())
+
     for batch in batches:
-        rows = []
-        for host, salt, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            new = Wrapper.read(json.loads(text))
-            if (host, salt) != key:
-                rows += [(*key, _dump(w))] if w is not None else []
-                key, w = (host, salt), new
+        for host, salt, shape in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            new = Wrapper.shaped(json.loads(shape))
+            if (host, salt) == key:
+                whole = merge(whole, new)
             else:
-                w = merge(w, new)
-        if rows:
-            yield _batch(rows)
-    if w is not None:
-        yield _batch([(*key, _dump(w))])
+                if whole:
+                    yield out()
+                key, whole = (host, salt), new
+    if whole:
+        yield out()
 
 
-def induce_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) for the hosts of ``pages`` (url, html); wrapper is JSON."""
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, shape, weight, skeleton) to (host, id, weight, slots)."""
+    last: tuple[str, Wrapper] | None = None
+    for batch in slices(batches, "skeleton"):
+        rows = []
+        for host, shape, weight, skeleton in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if last is None or last[0] != skeleton:
+                last = skeleton, Wrapper.shaped(json.loads(skeleton))
+            found = slots(Wrapper.shaped(json.loads(shape)), last[1])
+            rows.append((host, hashlib.md5(shape.encode()).hexdigest(), weight, found))
+        yield _table(rows, host=pa.string(), id=pa.string(), weight=pa.float64(), slots=pa.list_(pa.int64()))
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Wrapper] = {}
 
-        def out() -> pa.RecordBatch:
-            rows = sorted((h, zlib.crc32(t.encode()) % SALTS, t) for h, t in ((h, _dump(w)) for h, w in held.items()))
-            held.clear()
-            return _batch(rows)
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, slot, run, n, skeleton), sorted so that a host's skeleton comes first, to (host, wrapper)."""
+    host, whole, places = None, None, []
+    for batch in batches:
+        rows = []
+        for name, slot, run, n, skeleton in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if skeleton is not None:
+                rows += [(host, _dump(whole))] if whole else []
+                host, whole = name, Wrapper.shaped(json.loads(skeleton))
+                places = list(whole.groups())
+            elif run == PAGES:
+                places[slot].pages = n
+            elif run == TEXT:
+                places[slot].text = n
+            else:
+                places[slot].runs[run] = n
+        yield _table(rows, host=pa.string(), wrapper=pa.string())
+    if whole:
+        yield _table([(host, _dump(whole))], host=pa.string(), wrapper=pa.string())
+
+
+def _sum(column: str) -> Column:
+    """A sum that does not depend on the order of its rows."""
+    return F.round(F.sum(column), 6)
 
-        for batch in slices(batches, "html"):
-            for host, source, weight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                new = Wrapper.of("#root", [Page(source).root], weight)
-                held[host] = merge(held[host], new) if host in held else new
-            if len(held) > 2000:
-                yield out()
-        yield out()
 
+def induce_wrappers(pages: DataFrame) -> DataFrame:
+    """(host, wrapper) for the hosts of ``pages`` (url, html); wrapper is JSON."""
     tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = weighted(pages).mapInArrow(fold, _WRAPPERS)
-    by_salt = parts.repartition(tasks, "host", "salt").sortWithinPartitions("host", "salt", "wrapper").mapInArrow(_join, _WRAPPERS)
-    whole = by_salt.withColumn("salt", F.lit(0).cast("long")).repartition(tasks, "host").sortWithinPartitions("host", "wrapper")
-    return whole.mapInArrow(_join, _WRAPPERS).select("host", "wrapper")
+    counted = materialise(weighted(pages).mapInArrow(_counted, "host string, shape string, weight double, parts array<struct<at:long,run:long,n:double>>"))
+    shapes = counted.groupBy("host", "shape").agg(_sum("weight").alias("weight"))
+
+    skeleton = "host string, salt long, shape string"
+    salted = shapes.select("host", F.pmod(F.xxhash64("shape"), F.lit(SALTS)).alias("salt"), "shape").repartition(tasks, "host", "salt")
+    by_salt = salted.sortWithinPartitions("host", "salt", "shape").mapInArrow(_skeletons, skeleton)
+    whole = by_salt.withColumn("salt", F.lit(0).cast("long")).repartition(tasks, "host").sortWithinPartitions("host", "shape")
+    skeletons = materialise(whole.mapInArrow(_skeletons, skeleton).select("host", F.col("shape").alias("skeleton")))
+
+    placed = shapes.join(own_exchange(skeletons, "host"), "host").select("host", "shape", "weight", "skeleton")
+    placed = placed.mapInArrow(_placed, "host string, id string, weight double, slots array<long>")
+    placed = placed.select("host", "id", "weight", F.posexplode("slots").alias("at", "slot")).where("slot >= 0")
+    placed = materialise(placed.withColumn("at", F.col("at").cast("long")))
+    of_slots = materialise(placed.groupBy("host", "slot").agg(_sum("weight").alias("pages")))
+
+    places = placed.join(own_exchange(of_slots, "host", "slot"), ["host", "slot"]).select("host", "id", "at", "slot", "pages")
+    runs = counted.select("host", F.md5("shape").alias("id"), F.inline("parts"))
+    runs = runs.join(own_exchange(places, "host", "id", "at"), ["host", "id", "at"])
+    runs = runs.groupBy("host", "slot", "run").agg(_sum("n").alias("n"), F.max("pages").alias("pages"))
+    runs = runs.where((F.col("run") == TEXT) | (F.col("n") >= F.greatest(F.lit(LEAST), CONSTANT * F.col("pages"))))
+
+    none = F.lit(None).cast("string").alias("skeleton")
+    no = [F.lit(-1).cast("long").alias("slot"), F.lit(PAGES).cast("long").alias("run"), F.lit(0.0).alias("n")]
+    rows = skeletons.select("host", *no, "skeleton")
+    rows = rows.unionByName(of_slots.select("host", "slot", no[1], F.col("pages").alias("n"), none))
+    rows = rows.unionByName(runs.select("host", "slot", "run", "n", none))
+    return rows.repartition(tasks, "host").sortWithinPartitions("host", "slot", "run").mapInArrow(_filled, "host string, wrapper string")
 
 
 def extract(pages: DataFrame, most_broadcast: int = 16 << 20) -> DataFrame:

@@ -170,3 +170,64 @@ def test_kinds_in_their_longest_common_order():
         once = [(i, right.index(k)) for i, k in enumerate(left) if left.count(k) == right.count(k) == 1]
         most = max(n for n in range(len(once) + 1) for c in combinations(once, n) if [j for _, j in c] == sorted(j for _, j in c))
         assert len(pairs) == most
+
+
+def _texts(spark, rows, tasks):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(tasks)
+    return {r.page_id: r.text for r in extraction.extract(df).collect()}
+
+
+def test_nothing_is_forgotten_on_large_hosts(spark):
+    """A template block on three of a host's pages is one on any number of pages and tasks; so is a run among many others."""
+    rng = random.Random(7)
+
+    def rows(host, n, first):
+        out = []
+        for i in range(n):
+            note = "<div class='x'><h2>Special edition of the whole day</h2></div>" if i % (n // 3) == 0 and i < n - n % 3 else ""
+            out.append((first + i, host, f"<body><div class='y'>Top</div><div class='z'>{note}<p>Story {i} {_text(rng, 40)}</p></div></body>"))
+        return out
+
+    small, large = rows("http://small.org/", 12, 0), rows("http://large.org/", 330, 1000)
+    many = [(5000 + i, "http://many.org/", f"<body><div>{''.join(f'<p>{_text(rng, 9)} {i}</p>' for _ in range(40))}<p>Follow us on it</p></div></body>") for i in range(30)]
+    once, twice = (_texts(spark, small + large + many, tasks) for tasks in (1, 5))
+    assert once == twice
+    assert not [k for k, t in once.items() if "Special edition" in t or "Follow us" in t]
+    assert all(t.startswith("Story ") for k, t in once.items() if k < 5000)
+
+
+def test_wrappers_count_exactly():
+    """Groups on one page of many, and every run of a slot, whatever order the pages come in."""
+
+    def groups(wrapper):
+        return [wrapper] + [g for kid in wrapper.kids for g in groups(kid)]
+
+    body = "<body>{a}<div><p>{t}</p><p>Always</p></div></body>"
+    pages = [body.format(a="<ul><li>once</li></ul>" if i == 3 else "", t=f"text {i}") for i in range(200)]
+    for order in (pages, pages[::-1]):
+        whole = _induce(order)
+        assert [g.pages for g in groups(whole) if g.kind == "ul"] == [1.0]
+        counts = max((g.runs for g in groups(whole)), key=len)
+        assert len(counts) == 201 and sorted(counts.values())[-2:] == [1.0, 200.0]
+
+
+def test_matching_is_best_for_any_length():
+    rng = random.Random(9)
+
+    def table(left, right, score):
+        best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+        for i, x in enumerate(left):
+            for j, y in enumerate(right):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + score(i, j) if x == y else 0)
+        return best[-1][-1]
+
+    for n, m in [(rng.randint(0, 8), rng.randint(0, 8)) for _ in range(300)] + [(150, 400)]:  # 60,000 pairs of places
+        left, right = ([rng.choice("abcde") for _ in range(k)] for k in (n, m))
+        weights = {}
+
+        def score(i, j):
+            return weights.setdefault((i, j), 1 if left == right else rng.randint(1, 4))
+
+        pairs = extraction.match(left, right, score)
+        assert all(left[i] == right[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+        assert sum(score(i, j) for i, j in pairs) == table(left, right, score)
